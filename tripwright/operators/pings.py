@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.timestamps import trimmed
-from ..shared import new_path
+from ..shared import discard, new_path, stage
 from .timestamps import normalise, settled
 
 #: Rows of a vehicle are spread over tasks by spans of a day; all gaps looked for are shorter.
@@ -43,3 +43,11 @@ def kept(arrived: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("vehicle_id", "span", "t").orderBy("id")
     return arrived.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def kept_rows(pings: DataFrame, feeds: DataFrame, *columns: str) -> DataFrame:
+    """The kept rows of ``pings``, staged; what was staged on the way is removed again."""
+    arrived = arrivals(pings, feeds, *columns)
+    out = stage(kept(arrived), "kept")
+    discard(arrived)
+    return out

@@ -12,7 +12,7 @@ from ..operators.seen import SeenStore
 from ..operators.sessions import sessions
 from ..operators.timestamps import normalise
 from ..operators.tracks import GAP_US, implausible_readings, stops_and_trips
-from ..shared import new_path, stage
+from ..shared import new_path
 from ..sources.tables import table
 
 
@@ -31,7 +31,7 @@ def p1_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _track_rows(spark: SparkSession, d: str) -> DataFrame:
-    return stage(P.kept(_arrivals(spark, d, "latitude", "longitude", "speed")), "kept")
+    return P.kept_rows(table(spark, d, "gps_data"), table(spark, d, "feeds"), "latitude", "longitude", "speed")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
