@@ -49,8 +49,8 @@ def session_of(rows: DataFrame, found: DataFrame, key: str, at: str, span: str,
     list has at most span_us / gap + 2 entries, since sessions are a gap apart.
     """
     touched = F.explode(F.sequence(F.floor(F.col("start_us") / span_us), F.floor(F.col("end_us") / span_us)))
-    lists = found.select(F.col(key).alias("_k"), touched.alias("_span"), "start_us").groupBy("_k", "_span").agg(F.sort_array(F.collect_list("start_us")).alias("_starts"))
-    joined = rows.join(lists, (F.col(key) == F.col("_k")) & (F.col(span) == F.col("_span")), "left")
+    lists = found.select(F.col(key).alias("__key"), touched.alias("__span"), "start_us").groupBy("__key", "__span").agg(F.sort_array(F.collect_list("start_us")).alias("__starts"))
+    joined = rows.join(lists, (F.col(key) == F.col("__key")) & (F.col(span) == F.col("__span")), "left")
     # lists are short: the last start that isn't after the row
-    mine = F.expr(f"array_max(filter(_starts, x -> x <= `{at}`))")
-    return joined.withColumn("session_us", mine).drop("_k", "_span", "_starts")
+    mine = F.expr(f"array_max(filter(__starts, x -> x <= `{at}`))")
+    return joined.withColumn("session_us", mine).drop("__key", "__span", "__starts")
