@@ -102,7 +102,11 @@ def components(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
 def _kernel(table: pa.Table, starts: np.ndarray) -> pa.Table:
     iou = table.column("iou").to_numpy()
     chosen: list[int] = []
-    codes = [np.asarray(table.column(k).combine_chunks().dictionary_encode().combine_chunks().indices if isinstance(table.column(k), pa.ChunkedArray) else table.column(k).dictionary_encode().indices) for k in ("pred_id", "truth_id")]
+    codes = []
+    for k in ("pred_id", "truth_id"):
+        names = table.column(k).combine_chunks()
+        names = names.chunk(0) if isinstance(names, pa.ChunkedArray) else names
+        codes.append(np.asarray(names.dictionary_encode().indices))
     for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(iou)]):
         a, b = codes[0][s:e], codes[1][s:e]
         for edges in components(a, b):

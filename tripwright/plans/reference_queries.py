@@ -29,7 +29,7 @@ TRIP = ["trip_id", "vehicle_id", "date", "start_terminal", "end_terminal", "dire
 
 
 def _shape(trips: DataFrame) -> DataFrame:
-    return trips.select(*[F.round(c, 6).alias(c) if c == "duration_in_mins" else F.col(c) for c in TRIP])
+    return trips.select(*[F.round(c, 9).alias(c) if c == "duration_in_mins" else F.col(c) for c in TRIP])
 
 
 def _cut(spark: SparkSession, d: str, layover: bool = False, **options: object) -> Cut:

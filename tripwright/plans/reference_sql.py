@@ -73,7 +73,7 @@ segs AS (SELECT vehicle_id, sess, seg, min(t) AS start_us, max(t) AS end_us, cou
 trips AS (SELECT *, CAST(row_number() OVER (ORDER BY vehicle_id, start_us) AS INTEGER) AS trip_id, 1 AS direction, {_near_end('la')} AS start_terminal, {_near_end('lb')} AS end_terminal,
   CAST(NULL AS VARCHAR) AS provided_trip_id FROM segs WHERE n >= 2 AND runs >= 2)"""
 
-_TRIP = f"SELECT trip_id, vehicle_id, {_calendar('start_us')}, start_terminal, end_terminal, direction, start_us, end_us, provided_trip_id, round((end_us - start_us) / 60000000.0, 6) AS duration_in_mins FROM trips"
+_TRIP = f"SELECT trip_id, vehicle_id, {_calendar('start_us')}, start_terminal, end_terminal, direction, start_us, end_us, provided_trip_id, round((end_us - start_us) / 60000000.0, 9) AS duration_in_mins FROM trips"
 _PATH = "path AS (SELECT p.*, x.trip_id, x.direction FROM pings p LEFT JOIN trips x ON p.vehicle_id = x.vehicle_id AND p.t BETWEEN x.start_us AND x.end_us)"
 
 _DEBOUNCE = """c1 AS (SELECT *, CASE WHEN dir_noisy = lag(dir_noisy) OVER (PARTITION BY vehicle_id ORDER BY t) THEN 0 ELSE 1 END AS ch FROM pings),
