@@ -27,6 +27,7 @@ def pings(spark: SparkSession, d: str, layover: bool = False) -> DataFrame:
     """id, vehicle_id, timestamp, latitude, longitude, speed, trip_key (null on some), dir_flag, dir_noisy, route_id, pos, seq, event_id."""
     e = table(spark, d, "events")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = e.repartition(spark.sparkContext.defaultParallelism, "user_id")  # each event becomes five pings: keep all tasks
     e = e.select("event_id", "user_id", "event_type", F.unix_micros("ts").alias("tt"), (F.row_number().over(w) - 1).alias("seq"))
     e = e.withColumn("pos", _pos(F.col("seq"), layover)).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(4))))
     still = (F.col("j") == 2) | ((F.col("j") == 3) & F.col("event_type").isin("view", "click"))
@@ -48,20 +49,21 @@ def dirty_pings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def terminals(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("A", A_LAT, LON, 1), ("B", B_LAT, LON, 2)], "terminal_id string, latitude double, longitude double, ord int")
+    return spark.sql(f"SELECT * FROM VALUES ('A', {A_LAT}D, {LON}D, 1), ('B', {B_LAT!r}D, {LON}D, 2) AS t(terminal_id, latitude, longitude, ord)")
 
 
 def stops(spark: SparkSession) -> DataFrame:
     """Five stops for each direction, labelled by the terminal it starts from; the terminals among them."""
     rows = [(f"S{k}{t}", t, A_LAT + STEP_M * k / DEGREE_M, LON, 10 * i + k) for i, t in enumerate("AB") for k in range(1, 6)]
     rows += [("A", "A", A_LAT, LON, 100), ("B", "B", B_LAT, LON, 101)]
-    return spark.createDataFrame(rows, "stop_id string, direction string, latitude double, longitude double, ord int")
+    values = ", ".join(f"('{i}', '{t}', {a!r}D, {b!r}D, {o})" for i, t, a, b, o in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(stop_id, direction, latitude, longitude, ord)")
 
 
 def feed(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """A planned feed of one route: each vehicle's cycle is a trip, its stops the places passed."""
     p = pings(spark, d).where("id % 5 = 0").withColumn("trip_id", F.concat_ws("_", F.col("vehicle_id").cast("string"), F.floor(F.col("seq") / 6).cast("string")))
-    places = spark.createDataFrame([(f"S{k}", f"Place {k}", A_LAT + STEP_M * k / DEGREE_M, LON) for k in range(7)], "stop_id string, stop_name string, stop_lat double, stop_lon double")
+    places = spark.range(7).select(F.concat(F.lit("S"), "id").alias("stop_id"), F.concat(F.lit("Place "), "id").alias("stop_name"), (F.lit(A_LAT) + STEP_M * F.col("id") / F.lit(DEGREE_M)).alias("stop_lat"), F.lit(LON).alias("stop_lon"))
     return {
         "trips": p.select("trip_id", F.lit("r1").alias("route_id")).distinct(),
         "stop_times": p.select("trip_id", F.concat(F.lit("S"), F.col("pos")).alias("stop_id"), F.col("seq").cast("double").alias("stop_sequence")),

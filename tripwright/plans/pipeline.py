@@ -132,7 +132,7 @@ def cut_trips(spark: SparkSession, pings: DataFrame | str, terminals: DataFrame
     places = _places(spark, terminals, "terminal_id") if terminals is not None else None
     ids = terminal_ids(places) if places is not None else []
     gap = _us(o.session_gap)
-    rows = keyed(cleaned.pings, gap)
+    rows = stage(keyed(cleaned.pings, gap), "keyed")  # cutting, trajectories and counts all read it
     levels: list[str] | None = None
     first: Column
     if mode == "identity":
