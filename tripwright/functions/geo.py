@@ -12,7 +12,8 @@ EARTH_M = 6_371_000.0
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle metres; null if any coordinate is null."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return F.lit(2 * EARTH_M) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    root = F.sqrt(a)  # least() would pass over a null
+    return F.lit(2 * EARTH_M) * F.asin(F.when(root > 1, F.lit(1.0)).otherwise(root))
 
 
 def planar_m(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

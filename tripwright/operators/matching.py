@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_M, haversine_m, planar_m
+from ..shared import stage
 from .proximity import near
 
 #: Targets up to this many are held in an array literal beside each ping; more go through the spatial join.
@@ -49,7 +50,7 @@ def radius_match(
         return rows.withColumn(name, found).drop("_targets")
     if projected:
         raise ValueError(f"over {ARRAY_TARGETS} projected targets; the spatial join is for longitude and latitude")
-    rows = pings.withColumn("_row", F.monotonically_increasing_id().cast("string"))
+    rows = stage(pings.withColumn("_row", F.monotonically_increasing_id().cast("string")), "points")  # numbers that stay
     places = t.withColumn("_target", F.to_json(F.struct("ord", F.col(target_id).cast("string").alias("id"), F.col(by).alias("g") if by else F.lit(1).alias("g"))))
     pairs = near(rows, places, max(r1, r2), "_row", "_target").withColumn("x", F.from_json("_target", "ord bigint, id string, g string"))
     if by:

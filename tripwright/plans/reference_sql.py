@@ -9,7 +9,8 @@ GAP, LAYOVER_GAP, LAYOVER_SESSION, SEGMENT_GAP = 3 * DAY_US, 20 * 3_600_000_000,
 
 
 def _hav(a: str, b: str, c: str, d: str) -> str:
-    return f"2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(({c}) - ({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians(({d}) - ({b})) / 2), 2))))"
+    # no least(1, ...): it would pass over a null
+    return f"2 * 6371000.0 * asin(sqrt(pow(sin(radians(({c}) - ({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians(({d}) - ({b})) / 2), 2)))"
 
 
 def _sessions(source: str, gap: int) -> str:
