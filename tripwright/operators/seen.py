@@ -104,21 +104,27 @@ class SeenStore:
             return self.spark.createDataFrame([], "k string, span bigint, shard binary")
         return self.spark.read.schema("id bigint, k string, span bigint, shard binary, win boolean").parquet(f"{self.folder}/v{v}").where("not win").select("k", "span", "shard")
 
-    def absorb(self, arrived: DataFrame) -> DataFrame:
+    def _kept(self, version: int) -> DataFrame:
+        return self.spark.read.schema("id bigint, k string, span bigint, shard binary, win boolean").parquet(f"{self.folder}/v{version}").where("win").select("id")
+
+    def absorb(self, arrived: DataFrame, batch: int | None = None) -> DataFrame:
         """Take a batch (id, k, at) and return the ids (id) of the arrivals kept: of each identifier not seen
         in an earlier batch the smallest id. Rows with null key or instant are kept out.
 
         Copies shrink to one row where they lie, before they move. The batch counts once the rename is
         done: a job that fails before leaves the store as it was, and a batch absorbed twice keeps nothing anew.
+        ``batch`` numbers batches from 0 where they may be replayed: one that is in the store returns what it kept.
         """
+        if batch is not None and batch < self.version():
+            return self._kept(batch + 1)
         day = F.floor(F.col("at") / DAY_US)
         first = arrived.where("k is not null and at is not null").groupBy("k", day.alias("span"), "at").agg(F.min("id").alias("id"))
-        batch = first.select("k", "span", "at", "id", F.lit(None).cast("binary").alias("shard"))
+        fresh = first.select("k", "span", "at", "id", F.lit(None).cast("binary").alias("shard"))
         held = self.shards().select("k", "span", F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("id"), "shard")
-        out = map_groups(batch.unionByName(held), ["k", "span"], ["at"], _kernel, _OUT)
+        out = map_groups(fresh.unionByName(held), ["k", "span"], ["at"], _kernel, _OUT)
         v = self.version() + 1
         draft, place = f"{self.folder}/draft-{v}", f"{self.folder}/v{v}"
         out.write.mode("overwrite").partitionBy("win").parquet(draft)
         if not self._fs.rename(self._path(draft), self._path(place)):
             raise RuntimeError(f"another batch took version {v} of {self.folder}")
-        return self.spark.read.schema("id bigint, k string, span bigint, shard binary, win boolean").parquet(place).where("win").select("id")
+        return self._kept(v)
