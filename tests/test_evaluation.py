@@ -49,6 +49,15 @@ def test_matching_and_scores(spark):
         checked(pred.union(pred), "pred")
 
 
+def test_matching_refuses_repeated_and_blank_ids(spark):
+    pred, truth = segments(spark)
+    blank = truth.unionByName(spark.createDataFrame([("\t ", "v", "r", 0, M)], SEG))
+    for bad, what in (((pred.union(pred), truth), "pred repeats"), ((pred, truth.union(truth)), "truth repeats"), ((pred, blank), "1 rows of truth have no seg_id")):
+        for scored in (match_segments, segment_metrics):
+            with pytest.raises(ValueError, match=what):
+                scored(*bad)
+
+
 def test_orientation(spark):
     rows = [("R1", 1, 0, True, 0.9), ("R1", 0, 1, True, 0.3), ("R2", 0, 0, True, 0.8), ("R2", 1, 1, True, None), ("R5", None, 1, True, None), ("R5", None, 0, True, None), ("R6", 1, 1, True, 1.0), ("R7", 0, 1, False, 0.5)]
     df = spark.createDataFrame(rows, "route_id string, pred_orientation int, truth_direction int, clean boolean, pred_confidence double")

@@ -18,7 +18,8 @@ GROUP = ("vehicle_id", "route_id")
 
 def checked(segments: DataFrame, name: str) -> DataFrame:
     """Segments with a unique, non-blank seg_id, start_us and end_us; else ValueError."""
-    bad, n, d = segments.agg(F.count_if(blank(F.col("seg_id"))), F.count("*"), F.count_distinct("seg_id")).first()
+    empty = blank(F.col("seg_id")) | F.col("seg_id").cast("string").rlike(r"^\s*$")
+    bad, n, d = segments.agg(F.count_if(empty), F.count("*"), F.count_distinct("seg_id")).first()
     if bad:
         raise ValueError(f"{bad} rows of {name} have no seg_id")
     if n != d:
@@ -134,9 +135,11 @@ class Matches:
 def match_segments(pred: DataFrame, truth: DataFrame, gap_us: int = 14_400_000_000) -> Matches:
     """The one-to-one matching of greatest total IoU in each vehicle, route and session.
 
-    Both tables: seg_id (unique), vehicle_id, route_id, start_us, end_us. A pair is clean if neither side overlaps
-    another segment. Null vehicles and routes match nothing. Sessions bound what one task holds.
+    Both tables: seg_id, vehicle_id, route_id, start_us, end_us; blank or repeated seg_ids raise ValueError, as the joins
+    on them would multiply rows. A pair is clean if neither side overlaps another segment. Null vehicles and routes
+    match nothing. Sessions bound what one task holds.
     """
+    pred, truth = checked(pred, "pred"), checked(truth, "truth")
     pairs = overlaps(pred, truth, gap_us)
     per_pred, per_truth = pairs.groupBy("pred_id").agg(F.count("*").alias("of_pred")), pairs.groupBy("truth_id").agg(F.count("*").alias("of_truth"))
     chosen = map_groups(pairs.select(*GROUP, "session_us", "pred_id", "truth_id", "iou"), [*GROUP, "session_us"], ["pred_id", "truth_id"], _kernel, "pred_id string, truth_id string")
