@@ -10,6 +10,7 @@ from tripwright.evaluation.matching import best_assignment, checked, match_segme
 from tripwright.evaluation.metrics import pattern_ari, segment_metrics
 from tripwright.evaluation.orientation import calibration, orientation_scores, risk_coverage
 from tripwright.evaluation.sufficiency import data_sufficiency, make_splits
+from tripwright.operators.proximity import _distance
 
 SEG = "seg_id string, vehicle_id string, route_id string, start_us bigint, end_us bigint"
 M = 60_000_000
@@ -90,6 +91,19 @@ def test_anchors(spark):
     assert {r.anchor: (r.stop_id, r.matched) for r in stop_association(found, stops).collect()} == {1: ("b", True), 2: (None, False), 3: ("b", True), 4: (None, False)}
 
 
+def test_unmatched_anchors_keep_their_distance(spark):
+    where = "latitude double, longitude double"
+    anchors = spark.createDataFrame([(1, 50.0, 9.0), (2, 50.01, 9.0), (3, 0.0, 0.0), (4, -50.0, -171.0), (5, None, 9.0), (1, 51.0, 9.0)], f"anchor int, {where}")
+    stops = spark.createDataFrame([("a", 50.0, 9.0005), ("b", 50.0, 9.0), ("c", 0.0, 0.001)], f"stop_id string, {where}")
+    places = np.array([(50.0, 9.0005), (50.0, 9.0), (0.0, 0.001)])
+    least = lambda a, b: _distance(a, b, places[:, 0], places[:, 1]).min()
+    want = [(1, "b", True, 0.0), (1, None, False, least(51.0, 9.0)), (2, None, False, least(50.01, 9.0)), (3, None, False, least(0.0, 0.0)), (4, None, False, least(-50.0, -171.0)), (5, None, False, None)]
+    got = sorted(((r.anchor, r.stop_id, r.matched, r.distance_m) for r in stop_association(anchors, stops, 50.0).collect()), key=lambda x: (x[0], x[3] or 0.0))
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert [x[3] for x in got[:-1]] == pytest.approx([x[3] for x in want[:-1]]) and got[-1][3] is None
+    assert {r.anchor: r.matched for r in stop_association(anchors, stops.limit(0)).collect()} == dict.fromkeys(range(1, 6), False)
+
+
 def test_sufficiency_and_splits(spark):
     rows = [(i, "v", f"r{i % 2}", i * 3600 * 1_000_000, 50.0 + i * 0.001, 9.0) for i in range(24)]
     df = spark.createDataFrame(rows, "id int, vehicle_id string, route_id string, t bigint, latitude double, longitude double")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.proximity import near
+from ..operators.proximity import near, nearest_pairs
 from .matching import best_assignment, components
 
 
@@ -60,11 +60,13 @@ def anchor_detection(discovered: DataFrame, truth: DataFrame, dist_tol: float =
 
 
 def stop_association(anchors: DataFrame, stops: DataFrame, dist_tol: float = 100.0) -> DataFrame:
-    """(anchor, stop_id, distance_m, matched): the nearest stop of each anchor if within ``dist_tol``; else null, unmatched.
+    """(anchor, stop_id, distance_m, matched): the nearest stop of each anchor, its id only if within ``dist_tol``.
 
-    Of equally near stops the first by id. Beyond the tolerance the distance is not looked for and null.
+    Of equally near stops the first by id. distance_m is that of the nearest stop at any range; null only without a
+    position or without stops.
     """
-    pairs = near(anchors.withColumn("_a", F.col("anchor").cast("string")), stops, dist_tol, "_a", "stop_id")
-    best = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("_a").orderBy("metres", "stop_id"))).where("_n = 1")
-    out = anchors.select("anchor", F.col("anchor").cast("string").alias("_a")).join(best, "_a", "left")
-    return out.select("anchor", "stop_id", F.col("metres").alias("distance_m"), F.col("stop_id").isNotNull().alias("matched"))
+    at = F.concat_ws(" ", F.col("latitude").cast("double"), F.col("longitude").cast("double"))
+    pairs = nearest_pairs(anchors.withColumn("_a", at), stops, "_a", "stop_id")
+    best = pairs.groupBy("_a").agg(F.min(F.struct("metres", "stop_id")).alias("m"))
+    out = anchors.select("anchor", at.alias("_a")).join(best, "_a", "left").withColumn("matched", F.coalesce(F.col("m.metres") <= dist_tol, F.lit(False)))
+    return out.select("anchor", F.when(F.col("matched"), F.col("m.stop_id")).alias("stop_id"), F.col("m.metres").alias("distance_m"), "matched")

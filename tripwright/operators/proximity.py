@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_M
+from ..shared import stage
 from .grouped import map_groups
 
 #: Rows sampled of each side for the quadtree, and sampled rows that a leaf holds at most.
@@ -134,6 +135,27 @@ class RTree:
                 row, node = np.repeat(row, size), first + np.arange(int(size.sum()))
         return row, self.order[node]
 
+    def closest(self, probes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(probe, point) of the nearest point of each probe, with those equally near within rounding.
+
+        Level by level, a box is left out whose near side lies beyond the far side of another one.
+        """
+        row, node = np.arange(len(probes)), np.zeros(len(probes), np.int64)
+        for depth in range(len(self.levels) - 1, -1, -1):
+            low, high = self.levels[depth]
+            a, b = low[node] - probes[row], probes[row] - high[node]
+            gap, far = np.maximum(np.maximum(a, b), 0.0), np.maximum(np.abs(a), np.abs(b))
+            gap, far = np.sqrt(np.einsum("ij,ij->i", gap, gap)), np.sqrt(np.einsum("ij,ij->i", far, far))
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])  # rows rise, each has a box
+            bound = np.repeat(np.minimum.reduceat(far, first), np.diff(np.r_[first, len(row)]))
+            kept = gap <= bound * (1 + 1e-9) + 1e-12
+            row, node = row[kept], node[kept]
+            if depth:
+                size = np.minimum(FANOUT, len(self.levels[depth - 1][0]) - node * FANOUT)
+                first = np.repeat(node * FANOUT - (np.cumsum(size) - size), size)
+                row, node = np.repeat(row, size), first + np.arange(int(size.sum()))
+        return row, self.order[node]
+
 
 def _distance(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
     lat1, lat2 = np.radians(a), np.radians(c)
@@ -141,27 +163,92 @@ def _distance(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.
     return 2 * EARTH_M * np.arcsin(np.minimum(1.0, np.sqrt(h)))
 
 
-_BLOCK = 100_000  # probes at once in a leaf: bounds the pairs in memory
+class Sphere:
+    """Latitude and longitude in degrees; a latitude beyond a pole goes on behind it."""
+
+    limit = math.pi * EARTH_M
+
+    def depth(self, distance_m: float) -> int:
+        return depth_for(distance_m)
+
+    def _on(self, lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out = np.abs(lat) > 90
+        if not out.any():
+            return lat, lon
+        x, y, z = _space(lat, lon).T
+        return np.where(out, np.degrees(np.arcsin(np.clip(z, -1, 1))), lat), np.where(out, np.degrees(np.arctan2(y, x)), lon)
+
+    def codes(self, lat: np.ndarray, lon: np.ndarray, depth: int) -> np.ndarray:
+        return morton(*self._on(lat, lon), depth)
+
+    def reached(self, lat: np.ndarray, lon: np.ndarray, distance_m: float, leaves: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        return reached(*self._on(lat, lon), distance_m, leaves, depth)
+
+    def space(self, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+        return _space(lat, lon)
+
+    def chord(self, distance_m: float) -> float:
+        return 2 * math.sin(min(distance_m / EARTH_M, math.pi) / 2) * (1 + 1e-9) + 1e-12
+
+    def distance(self, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+        return _distance(a, b, c, d)
 
 
-def _kernel(distance_m: float):  # noqa: ANN202
-    chord = 2 * math.sin(min(distance_m / EARTH_M, math.pi) / 2) * (1 + 1e-9) + 1e-12
+class Plane:
+    """Projected coordinates in a square of ``width`` from the corner (x, y); distances are Euclidean, in their unit."""
+
+    def __init__(self, x: float, y: float, width: float) -> None:
+        self.x, self.y, self.width = x, y, width
+        self.limit = 1.5 * width
+
+    def depth(self, distance_m: float) -> int:
+        return max(1, min(DEPTH, int(math.log2(max(1.0, self.width / max(distance_m * 1.00001, 1e-300))))))
+
+    def codes(self, x: np.ndarray, y: np.ndarray, depth: int) -> np.ndarray:
+        n = 1 << depth
+        cx, cy = (np.clip(np.floor((v - o) / self.width * n), 0, n - 1).astype(np.int64) for v, o in ((x, self.x), (y, self.y)))
+        return (_spread(cx) | (_spread(cy) << np.uint64(1))).astype(np.int64)
+
+    def reached(self, x: np.ndarray, y: np.ndarray, distance_m: float, leaves: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """A cell is wider than the distance, so the corners and middles of the square about a point meet all its cells."""
+        d = distance_m * 1.000001
+        row = np.tile(np.arange(len(x)), 9)
+        leaf = np.concatenate([np.searchsorted(leaves, self.codes(x + i * d, y + j * d, depth), side="right") - 1 for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        row, leaf = np.unique(np.stack([row, leaf]), axis=1)
+        return row, leaf
+
+    def space(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.stack([x, y, np.zeros(len(x))], axis=1)
+
+    def chord(self, distance_m: float) -> float:
+        return distance_m * (1 + 1e-9) + 1e-12
+
+    def distance(self, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+        return np.hypot(c - a, d - b)
+
+
+_BLOCK, _CLOSEST_BLOCK = 100_000, 2_000  # probes at once in a leaf: bounds the pairs in memory
+
+
+def _kernel(distance_m: float, surface: Sphere | Plane, closest: bool):  # noqa: ANN202
+    chord = surface.chord(distance_m)
 
     def kernel(table: pa.Table, starts: np.ndarray) -> pa.Table:
         side = table.column("target").to_numpy(zero_copy_only=False)
         lat, lon = table.column("lat").to_numpy(), table.column("lon").to_numpy()
-        where = _space(lat, lon)
+        where = surface.space(lat, lon)
         left, right, metres = [], [], []
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(lat)]):
             targets, probes = a + np.flatnonzero(side[a:b]), a + np.flatnonzero(~side[a:b])
             if not len(targets) or not len(probes):
                 continue
             tree = RTree(where[targets])
-            for i in range(0, len(probes), _BLOCK):
-                block = probes[i : i + _BLOCK]
-                p, q = tree.within(where[block], chord)
+            step = _CLOSEST_BLOCK if closest else _BLOCK
+            for i in range(0, len(probes), step):
+                block = probes[i : i + step]
+                p, q = tree.closest(where[block]) if closest else tree.within(where[block], chord)
                 p, q = block[p], targets[q]
-                d = _distance(lat[p], lon[p], lat[q], lon[q])
+                d = surface.distance(lat[p], lon[p], lat[q], lon[q])
                 ok = d <= distance_m
                 left.append(p[ok]), right.append(q[ok]), metres.append(d[ok])
         pick = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
@@ -171,29 +258,45 @@ def _kernel(distance_m: float):  # noqa: ANN202
     return kernel
 
 
-def _points(df: DataFrame, key: str, lat: str, lon: str) -> DataFrame:
-    """Distinct valid positions of each key: null, NaN, zero (either one) and out-of-range coordinates take no part."""
+def _points(df: DataFrame, key: str, lat: str, lon: str, valid: bool = True) -> DataFrame:
+    """Distinct positions of each key: null, NaN and infinite coordinates take no part, if ``valid`` nor do zero (either one) and out-of-range ones."""
     p = df.select(F.col(key).cast("string").alias("key"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"))
-    ok = F.col("key").isNotNull() & (F.col("lat") != 0) & (F.col("lon") != 0) & F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)
+    ok = F.col("key").isNotNull() & (F.abs("lat") < float("inf")) & (F.abs("lon") < float("inf"))
+    if valid:
+        ok = ok & (F.col("lat") != 0) & (F.col("lon") != 0) & F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)
     return p.where(ok).distinct()
 
 
-def near(probes: DataFrame, targets: DataFrame, distance_m: float, probe_key: str, target_key: str, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
+def _plane(*sides: DataFrame) -> Plane:
+    """The square that holds the points of all sides."""
+    bounds = [x.agg(F.min("lat"), F.min("lon"), F.max("lat"), F.max("lon")).first() for x in sides]
+    held = [b for b in bounds if b[0] is not None]
+    if not held:
+        return Plane(0.0, 0.0, 1.0)
+    x, y = min(b[0] for b in held), min(b[1] for b in held)
+    return Plane(x, y, max(max(b[2] for b in held) - x, max(b[3] for b in held) - y, 1.0))
+
+
+def near(probes: DataFrame, targets: DataFrame, distance_m: float, probe_key: str, target_key: str, lat: str = "latitude", lon: str = "longitude", valid: bool = True, projected: bool = False, closest: bool = False) -> DataFrame:
     """Distinct (probe_key, target_key, metres): any position of the one within ``distance_m`` of any of the other.
 
     metres is the least distance of a pair, on the sphere; exactly ``distance_m`` counts. Keys are cast to string; a
     null key has no pair. Repeated rows of a key count once. Empty tables give no pairs. The sample only
     shapes the partitions: leaves that it shows to be hot are split among tasks, by shares of either side.
+
+    ``valid``: positions with a zero or out-of-range coordinate take no part. ``projected``: plane coordinates.
+    ``closest``: of the pairs of a position only the nearest, some others may stay.
     """
-    a, b = _points(probes, probe_key, lat, lon), _points(targets, target_key, lat, lon)
-    depth = depth_for(distance_m)
+    a, b = _points(probes, probe_key, lat, lon, valid), _points(targets, target_key, lat, lon, valid)
+    surface = _plane(a, b) if projected else Sphere()
+    depth = surface.depth(distance_m)
     sizes = [df.count() for df in (probes, targets)]
     sample, weights = [], []
     for df, n in zip((probes, targets), sizes):
         share = min(1.0, SAMPLE / max(n, 1))
-        p = _points(df if share == 1.0 else df.sample(share, 7), *((probe_key, lat, lon) if df is probes else (target_key, lat, lon)))
+        p = _points(df if share == 1.0 else df.sample(share, 7), *((probe_key, lat, lon) if df is probes else (target_key, lat, lon)), valid)
         got = p.select("lat", "lon").limit(2 * SAMPLE).toPandas()
-        sample.append(morton(got.lat.to_numpy(float), got.lon.to_numpy(float), depth))
+        sample.append(surface.codes(got.lat.to_numpy(float), got.lon.to_numpy(float), depth))
         weights.append(1 / share)
     leaves = quadtree(np.concatenate(sample), depth)
     spread_p, spread_t = (
@@ -214,14 +317,37 @@ def near(probes: DataFrame, targets: DataFrame, distance_m: float, probe_key: st
 
     def place_probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            code = morton(x.column("lat").to_numpy(), x.column("lon").to_numpy(), depth)
+            code = surface.codes(x.column("lat").to_numpy(), x.column("lon").to_numpy(), depth)
             yield place(x, np.arange(len(code)), np.searchsorted(leaves, code, side="right") - 1, False)
 
     def place_targets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            yield place(x, *reached(x.column("lat").to_numpy(), x.column("lon").to_numpy(), distance_m, leaves, depth), True)
+            yield place(x, *surface.reached(x.column("lat").to_numpy(), x.column("lon").to_numpy(), distance_m, leaves, depth), True)
 
     schema = "leaf bigint, salt bigint, target boolean, key string, lat double, lon double"
     placed = a.mapInArrow(place_probes, schema).unionByName(b.mapInArrow(place_targets, schema))
-    pairs = map_groups(placed, ["leaf", "salt"], [], _kernel(distance_m), "a string, b string, metres double")
+    pairs = map_groups(placed, ["leaf", "salt"], [], _kernel(distance_m, surface, closest), "a string, b string, metres double")
     return pairs.groupBy("a", "b").agg(F.min("metres").alias("metres")).select(F.col("a").alias(probe_key), F.col("b").alias(target_key), "metres")
+
+
+def nearest_pairs(probes: DataFrame, targets: DataFrame, probe_key: str, target_key: str, lat: str = "latitude", lon: str = "longitude", projected: bool = False) -> DataFrame:
+    """(probe_key, target_key, metres): the nearest target of each probe at any distance, with those equally near.
+
+    Zero coordinates are positions here; without a position or a target there is no pair. Some farther targets may
+    stay among the pairs: the caller takes the least. The distance of the spatial join grows eightfold for the
+    probes still left over, up to that of any two points; each round is a written table.
+    """
+    left, held = (stage(_points(df, key, lat, lon, False), name) for df, key, name in ((probes, probe_key, "left"), (targets, target_key, "targets")))
+    held = held.withColumnRenamed("key", "_target")
+    limit = (_plane(left, held) if projected else Sphere()).limit * 1.001
+    distance_m, found = limit / 4096, None
+    while True:
+        pairs = stage(near(left.withColumnRenamed("key", "_probe"), held, distance_m, "_probe", "_target", "lat", "lon", valid=False, projected=projected, closest=True), "nearest")
+        found = pairs if found is None else found.unionByName(pairs)
+        if distance_m >= limit:
+            break
+        left = stage(left.join(pairs.select(F.col("_probe").alias("key")), "key", "left_anti"), "left")
+        if left.isEmpty():
+            break
+        distance_m = min(8 * distance_m, limit)
+    return found.select(F.col("_probe").alias(probe_key), F.col("_target").alias(target_key), "metres")
