@@ -10,6 +10,7 @@ from tripwright.operators.cleaning import clean_pings
 from tripwright.operators.dwell import anchored
 from tripwright.operators.features import STOP_COLUMNS, TRIP_COLUMNS
 from tripwright.operators.matching import line_distance, nearest, radius_match
+from tripwright.operators.proximity import _distance
 from tripwright.operators.sequence import KEY, debounced, in_order, keyed, paired
 from tripwright.operators.shapes import shapes_from_trips
 from tripwright.plans.pipeline import Options, extract_trips, extract_trips_and_stop_times, stop_levels
@@ -148,6 +149,30 @@ def test_first_target_not_nearest_and_both_forms(spark, monkeypatch):
     assert {r.id: r.n for r in nearest(pings, targets, "t", "latitude", "longitude", "n").collect()} == {1: "near", 2: "far", 3: None, 4: "near"}
 
 
+@pytest.mark.parametrize("projected", [False, True])
+def test_more_targets_than_an_array_holds(spark, projected):
+    """1,200 targets against brute force: the nearest at any distance, and the first within a radius."""
+    rng = np.random.default_rng(5)
+    scale = 1000.0 if projected else 1.0
+    a, b = rng.uniform(1, 3, 1200).round(2) * scale, rng.uniform(1, 3, 1200).round(2) * scale
+    x, y = np.r_[rng.uniform(1, 3, 60).round(2), 60.0, -70.0] * scale, np.r_[rng.uniform(1, 3, 60).round(2), -150.0, 175.0] * scale
+    where = "latitude double, longitude double"
+    targets = spark.createDataFrame([(f"t{i}", float(p), float(q), 1200 - i) for i, (p, q) in enumerate(zip(a, b))], f"t string, {where}, ord int")
+    pings = spark.createDataFrame([(i, float(p), float(q)) for i, (p, q) in enumerate(zip(x, y))] + [(99, None, 1.0), (98, float("nan"), 1.0)], f"id int, {where}")
+    measure = (lambda p, q, r, s: np.hypot(r - p, s - q)) if projected else _distance
+    d = measure(x[:, None], y[:, None], a[None], b[None])
+    got = {r.id: (r.n, r.n_m) for r in nearest(pings, targets, "t", "latitude", "longitude", "n", projected).collect()}
+    assert got.pop(98) == got.pop(99) == (None, None) and len(got) == len(x)
+    for i, (n, m) in got.items():
+        assert m == pytest.approx(d[i].min(), abs=1e-6)
+        at = int(n[1:])
+        assert d[i, at] == pytest.approx(m, abs=1e-6) and not ((a == a[at]) & (b == b[at]))[at + 1 :].any()  # ord falls: the last of a place
+    radius = 25.5 if projected else 2555.0
+    got = {r.id: r.n for r in radius_match(pings, targets, "t", radius, name="n", projected=projected).collect()}
+    ok = d <= radius
+    assert got == {98: None, 99: None} | {i: f"t{np.flatnonzero(k).max()}" if k.any() else None for i, k in enumerate(ok)}
+
+
 def test_line_distance_by_hand(spark):
     k = 111_194.92664455873
     lines = spark.createDataFrame([("r", "A", float(i), 0.001, 0.001 + m / k) for i, m in enumerate([0, 200, 200, 400])], "route_id string, direction string, vertex_seq double, latitude double, longitude double")

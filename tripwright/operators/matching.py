@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_M, haversine_m, planar_m
 from ..shared import stage
-from .proximity import near
+from .proximity import near, nearest_pairs
 
 #: Targets up to this many are held in an array literal beside each ping; more go through the spatial join.
 ARRAY_TARGETS = 1000
@@ -48,11 +48,9 @@ def radius_match(
 
         found = within(r1) if r2 <= r1 else F.coalesce(within(r1), within(r2))
         return rows.withColumn(name, found).drop("_targets")
-    if projected:
-        raise ValueError(f"over {ARRAY_TARGETS} projected targets; the spatial join is for longitude and latitude")
     rows = stage(pings.withColumn("_row", F.monotonically_increasing_id().cast("string")), "points")  # numbers that stay
     places = t.withColumn("_target", F.to_json(F.struct("ord", F.col(target_id).cast("string").alias("id"), F.col(by).alias("g") if by else F.lit(1).alias("g"))))
-    pairs = near(rows, places, max(r1, r2), "_row", "_target").withColumn("x", F.from_json("_target", "ord bigint, id string, g string"))
+    pairs = near(rows, places, max(r1, r2), "_row", "_target", valid=not projected, projected=projected).withColumn("x", F.from_json("_target", "ord bigint, id string, g string"))
     if by:
         pairs = pairs.join(rows.select("_row", F.col(by).cast("string").alias("_g")), "_row").where(F.col("x.g") == F.col("_g"))
     tier = F.when(F.col("metres") <= r1, 0).otherwise(1)
@@ -63,20 +61,34 @@ def radius_match(
 def nearest(rows: DataFrame, targets: DataFrame, target_id: str, lat: str, lon: str, name: str, projected: bool = False) -> DataFrame:
     """``rows`` with ``name``, the nearest target at any distance, and ``name``_m; of equals the first by ``ord``.
 
-    Targets, a vehicle park's terminals, are counted and at most ARRAY_TARGETS; they meet each row as an array.
+    Up to ARRAY_TARGETS targets, as counted, meet each row as an array; more meet the distinct positions of the rows in
+    the spatial join. A null or NaN coordinate has no nearest target.
     """
     t = targets.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
     if t.limit(ARRAY_TARGETS + 1).count() > ARRAY_TARGETS:
-        raise ValueError(f"over {ARRAY_TARGETS} targets; use the spatial join with a radius")
+        return _nearest_joined(rows, t, target_id, lat, lon, name, projected)
     entry = F.struct("ord", F.col(target_id).cast("string").alias("id"), F.col("latitude").cast("double").alias("a"), F.col("longitude").cast("double").alias("b"))
     lists = t.agg(F.sort_array(F.collect_list(entry)).alias("_targets"))
     each = F.transform("_targets", lambda e: F.struct(_distance(projected, F.col(lat), F.col(lon), e["a"], e["b"]).alias("m"), e["ord"].alias("ord"), e["id"].alias("id")))
-    best = F.array_min(F.filter(each, lambda e: e["m"].isNotNull()))
+    best = F.array_min(F.filter(each, lambda e: e["m"] < float("inf")))
     # one row: the list of all targets
     joined = rows.join(F.broadcast(lists)).withColumn("_best", best)
     return joined.withColumns({name: F.col("_best.id"), f"{name}_m": F.col("_best.m")}).drop("_best", "_targets")
 
 
+def _nearest_joined(rows: DataFrame, targets: DataFrame, target_id: str, lat: str, lon: str, name: str, projected: bool) -> DataFrame:
+    rows = stage(rows.withColumn("_at", F.to_json(F.struct(F.col(lat).cast("double").alias("a"), F.col(lon).cast("double").alias("b")))), "points")
+    # of targets at one place only the first can be chosen
+    places = targets.groupBy(F.col("latitude").cast("double").alias("a"), F.col("longitude").cast("double").alias("b")).agg(F.min(F.struct("ord", F.col(target_id).cast("string").alias("id"))).alias("e"))
+    places = places.select(F.to_json(F.struct("a", "b", "e.ord", "e.id")).alias("_target"), F.col("a").alias(lat), F.col("b").alias(lon))
+    pairs = nearest_pairs(rows, places, "_at", "_target", lat, lon, projected)
+    ord_type = targets.schema["ord"].dataType.simpleString()
+    pairs = pairs.withColumns({"x": F.from_json("_target", f"a double, b double, ord {ord_type}, id string"), "p": F.from_json("_at", "a double, b double")})
+    m = _distance(projected, F.col("p.a"), F.col("p.b"), F.col("x.a"), F.col("x.b"))  # as in the array form, so that equals are the same
+    best = pairs.groupBy("_at").agg(F.min(F.struct(m.alias("m"), "x.ord", "x.id")).alias("_best"))
+    return rows.join(best, "_at", "left").withColumns({name: F.col("_best.id"), f"{name}_m": F.col("_best.m")}).drop("_best", "_at")
+
+
 def line_distance(points: DataFrame, lines: DataFrame, key: str) -> DataFrame:
     """(key, route_id, direction, metres): least distance of each point to the line of each direction of its route.
 
