@@ -149,6 +149,18 @@ def test_first_target_not_nearest_and_both_forms(spark, monkeypatch):
     assert {r.id: r.n for r in nearest(pings, targets, "t", "latitude", "longitude", "n").collect()} == {1: "near", 2: "far", 3: None, 4: "near"}
 
 
+def test_zero_coordinates_match_in_both_forms(spark, monkeypatch):
+    from tripwright.operators import matching
+
+    where = "latitude double, longitude double"
+    pings = spark.createDataFrame([(1, 0.0, 9.0), (2, 50.0, 0.0), (3, 0.0, 0.0), (4, 0.0001, 9.0), (5, None, 0.0), (6, float("nan"), 0.0), (7, 5.0, 180.5)], f"id int, {where}")
+    targets = spark.createDataFrame([("e", 0.0, 9.0, 1), ("m", 50.0, 0.0, 2), ("z", 0.0, 0.0001, 3), ("d", 5.0, -179.5, 4)], f"t string, {where}, ord int")
+    for limit in (1000, 1):
+        monkeypatch.setattr(matching, "ARRAY_TARGETS", limit)
+        got = {r.id: r.m for r in radius_match(pings, targets, "t", 50.0, name="m").collect()}
+        assert got == {1: "e", 2: "m", 3: "z", 4: "e", 5: None, 6: None, 7: "d"}
+
+
 @pytest.mark.parametrize("projected", [False, True])
 def test_more_targets_than_an_array_holds(spark, projected):
     """1,200 targets against brute force: the nearest at any distance, and the first within a radius."""

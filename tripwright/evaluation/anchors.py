@@ -39,7 +39,7 @@ def anchor_detection(discovered: DataFrame, truth: DataFrame, dist_tol: float =
         base.precision = 0.0 if n_kept else None
         base.recall = 0.0 if n_truth else None
         return base
-    pairs = near(kept.withColumn("a", F.col("anchor").cast("string")), truth.withColumn("b", F.col("anchor").cast("string")), dist_tol, "a", "b").toPandas()
+    pairs = near(kept.withColumn("a", F.col("anchor").cast("string")), truth.withColumn("b", F.col("anchor").cast("string")), dist_tol, "a", "b", valid=False).toPandas()
     a, ia = np.unique(pairs["a"].to_numpy(), return_inverse=True)
     b, ib = np.unique(pairs["b"].to_numpy(), return_inverse=True)
     w = dist_tol - pairs["metres"].to_numpy(float) + 1.0

@@ -50,7 +50,7 @@ def radius_match(
         return rows.withColumn(name, found).drop("_targets")
     rows = stage(pings.withColumn("_row", F.monotonically_increasing_id().cast("string")), "points")  # numbers that stay
     places = t.withColumn("_target", F.to_json(F.struct("ord", F.col(target_id).cast("string").alias("id"), F.col(by).alias("g") if by else F.lit(1).alias("g"))))
-    pairs = near(rows, places, max(r1, r2), "_row", "_target", valid=not projected, projected=projected).withColumn("x", F.from_json("_target", "ord bigint, id string, g string"))
+    pairs = near(rows, places, max(r1, r2), "_row", "_target", valid=False, projected=projected).withColumn("x", F.from_json("_target", "ord bigint, id string, g string"))
     if by:
         pairs = pairs.join(rows.select("_row", F.col(by).cast("string").alias("_g")), "_row").where(F.col("x.g") == F.col("_g"))
     tier = F.when(F.col("metres") <= r1, 0).otherwise(1)
