@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import stage
 from .matching import GROUP, match_segments
 
 
@@ -42,23 +43,44 @@ def _sums(rows: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+_SUMS = ("tp", "n_p", "n_t", "wp_hit", "wp", "wt_hit", "wt", "pings_hit", "pings")
+
+
+def _up(sums: DataFrame, *keys: str) -> DataFrame:
+    """Sums of clusters brought up to fewer keys."""
+    out = sums.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in _SUMS])
+    return out if keys else out.select(*[F.coalesce(F.col(c), F.lit(0).cast(out.schema[c].dataType)).alias(c) if not c.startswith("pings") else F.col(c) for c in _SUMS])
+
+
 def macro_metrics(rows: DataFrame) -> DataFrame:
     """One row of precision, recall and F1 averaged over the routes of either table; F1 is 2tp / (2tp + fp + fn)."""
-    r = _sums(rows, "route_id")
+    return _macro(_sums(rows, "route_id"))
+
+
+def _macro(r: DataFrame) -> DataFrame:
     per = r.select(_ratio(F.col("tp"), F.col("n_p")).alias("p"), _ratio(F.col("tp"), F.col("n_t")).alias("r"), _ratio(2 * F.col("tp"), F.col("n_p") + F.col("n_t")).alias("f"))
     return per.agg(F.avg("p").alias("macro_precision"), F.avg("r").alias("macro_recall"), F.avg("f").alias("macro_f1"))
 
 
-def bootstrap(rows: DataFrame, unit: str, n_boot: int, seed: int) -> DataFrame:
+#: Parts into which the units of the bootstrap are hashed, so that numbering them is no single task.
+UNIT_PARTS = 256
+
+
+def bootstrap(sums: DataFrame, unit: str, n_boot: int, seed: int) -> DataFrame:
     """One row (f1_low, f1_high): 2.5 and 97.5 % points of the weighted F1 over resamples of whole routes or vehicles.
 
-    Matching falls apart by cluster, so sums of clusters suffice. Draw i of replicate b is a hash of both; nothing
-    is null unless there is one cluster or none.
+    sums: a row of sums a cluster, of which matching falls apart by. Draw i of replicate b is a hash of both; units are
+    numbered within parts, behind the number of units in the parts before. Nothing is null unless there is
+    one cluster or none.
     """
-    c = _sums(rows, unit).withColumn("no", F.row_number().over(Window.orderBy(unit)) - 1)
-    k = c.agg(F.count("*").alias("k"))
-    draws = c.select("no").join(k, how="inner").where("k > 1").select(F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"), F.col("no").alias("i"), "k")
-    draws = draws.select("b", F.pmod(F.xxhash64("b", "i", F.lit(seed)), F.col("k")).cast("int").alias("no")).groupBy("b", "no").agg(F.count("*").alias("m"))
+    c = _up(sums, unit).withColumn("part", F.pmod(F.xxhash64(unit), F.lit(UNIT_PARTS)))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(unit)) - 1
+    sizes = c.groupBy("part").agg(F.count("*").alias("n"))
+    # at most UNIT_PARTS rows
+    base = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("k"))
+    c = stage(c.withColumn("own", own).join(F.broadcast(base), "part").withColumn("no", F.col("base") + F.col("own")), "units")
+    draws = c.select("no", "k").where("k > 1").select(F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"), F.col("no").alias("i"), "k")
+    draws = draws.select("b", F.pmod(F.xxhash64("b", "i", F.lit(seed)), F.col("k")).alias("no")).groupBy("b", "no").agg(F.count("*").alias("m"))
     s = draws.join(c, "no").groupBy("b").agg(*[F.sum(F.col(x) * F.col("m")).alias(x) for x in ("wp_hit", "wp", "wt_hit", "wt")])
     f = s.select(_f1(_ratio(F.col("wp_hit"), F.col("wp")), _ratio(F.col("wt_hit"), F.col("wt"))).alias("f"))
     return f.agg(F.percentile("f", F.lit(0.025)).alias("f1_low"), F.percentile("f", F.lit(0.975)).alias("f1_high"))
@@ -77,7 +99,8 @@ def segment_metrics(
     mm = match_segments(pred, truth, gap_us)
     rows = flagged(pred, truth, mm.matches, iou_threshold, weight)
     tp, n_p, n_t = F.col("tp"), F.col("n_p"), F.col("n_t")
-    s = _sums(rows).join(mm.counts, how="inner").join(macro_metrics(rows), how="inner").join(bootstrap(rows, boot_unit, n_boot, seed), how="inner")
+    sums = stage(_sums(rows, *GROUP), "sums")  # one row a vehicle and route: all totals come from it
+    s = _up(sums).join(mm.counts, how="inner").join(_macro(_up(sums, "route_id")), how="inner").join(bootstrap(sums, boot_unit, n_boot, seed), how="inner")
     hits = mm.matches.where(F.col("iou") >= iou_threshold)
     errors = hits.agg(*[f(c).alias(f"{c}_{n}") for c in ("boundary_start_err", "boundary_end_err") for n, f in (("min", F.min), ("median", F.median), ("mean", F.avg), ("max", F.max))])
     p, r, wp, wr = _ratio(tp, n_p), _ratio(tp, n_t), _ratio(F.col("wp_hit"), F.col("wp")), _ratio(F.col("wt_hit"), F.col("wt"))
