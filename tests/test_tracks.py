@@ -3,9 +3,11 @@ import pytest
 
 from tripwright.operators import pings as P
 from tripwright.operators.runs import agglomerate, alike, plain, runs
+from tripwright.operators import seen
 from tripwright.operators.seen import SeenStore, pack, unite, unpack
 from tripwright.operators.sessions import session_of, sessions
 from tripwright.operators.tracks import implausible, implausible_readings, off_path, stays, stops_and_trips
+from tripwright.plans.data_queries import waves
 from tripwright.shared import new_path
 
 S = 1_000_000
@@ -126,28 +128,71 @@ def test_seen_bitmaps_round_trip():
         bits = np.unique(rng.integers(0, 90_000, n))
         f, b = unpack(pack(np.array([0, 250_000]), bits))
         assert list(f) == [0, 250_000] and (b == bits).all()
-    unseen, shard = unite(None, np.array([5_000_000, 5_250_000]))
-    assert unseen.all()
-    unseen, _ = unite(shard, np.array([5_250_000, 6_000_001]))
-    assert list(unseen) == [False, True]
+    chosen, shard = unite(None, np.array([5_000_000, 5_250_000, 5_000_000]))
+    assert list(chosen) == [True, True, False]
+    chosen, _ = unite(shard, np.array([5_250_000, 6_000_001]))
+    assert list(chosen) == [False, True]
 
 
-def test_seen_store_over_batches(spark):
-    schema = "id bigint, k string, at bigint"
+SEEN = "id bigint, k string, at bigint"
+
+
+def test_seen_store_over_batches(spark, monkeypatch):
+    monkeypatch.setattr(seen, "LAYERS", 2)
     store = SeenStore(spark, new_path(spark, "seen"))
-    first = store.absorb(spark.createDataFrame([(2, "v", 5), (1, "v", 5), (3, "v", 6), (4, None, 6), (5, "w", None)], schema))
+    first = store.absorb(spark.createDataFrame([(2, "v", 5), (1, "v", 5), (3, "v", 6), (4, None, 6), (5, "w", None)], SEEN), 7)
     assert sorted(r.id for r in first.collect()) == [1, 3]
-    again = store.absorb(spark.createDataFrame([(7, "v", 6), (8, "w", 6), (9, "w", 6)], schema))
+    again = store.absorb(spark.createDataFrame([(7, "v", 6), (8, "w", 6), (9, "w", 6)], SEEN), 9)
     assert [r.id for r in again.collect()] == [8]
-    assert store.absorb(spark.createDataFrame([], schema)).count() == 0
-    assert store.absorb(spark.createDataFrame([(10, "w", 6)], schema)).count() == 0
-    assert store.version() == 4
+    assert store.absorb(spark.createDataFrame([], SEEN)).count() == 0  # all layers into one
+    assert store.absorb(spark.createDataFrame([(10, "w", 6)], SEEN)).count() == 0
+    assert store.absorb(spark.createDataFrame([(11, "v", 86_400_000_000), (12, "v", 5)], SEEN)).collect()[0].id == 11
+    assert store.version() == 5 and store.shards().count() == 3
+    # a replayed batch returns what it kept, whatever numbers batches have
+    assert sorted(r.id for r in store.absorb(spark.createDataFrame([(99, "z", 1)], SEEN), 7).collect()) == [1, 3]
+    assert store.version() == 5
+
+
+def test_of_two_writers_of_a_version_one_wins(spark):
+    folder = new_path(spark, "seen")
+    one, two = SeenStore(spark, folder), SeenStore(spark, folder)
+    one.absorb(spark.createDataFrame([(1, "v", 5)], SEEN))
+    late = one.version()
+    two.absorb(spark.createDataFrame([(2, "v", 6)], SEEN))
+    with pytest.raises(RuntimeError, match="took version 2"):
+        one._commit(late + 1, {"batch": None, "data": "x", "layers": []})
+    assert one.version() == 2 and one.absorb(spark.createDataFrame([(3, "v", 6), (4, "v", 7)], SEEN)).collect()[0].id == 4
+
+
+def test_the_bits_decide_between_batches():
+    import pyarrow as pa
 
+    def kept(shard):
+        rows = {"k": ["v"] * 4, "span": [0] * 4, "at": [None, 5, 6, 6], "id": [None, 3, 4, 5], "shard": [shard, None, None, None]}
+        out = seen._kernel(False)(pa.table({k: pa.array(v, pa.binary() if k == "shard" else None) for k, v in rows.items()}).slice(0 if shard else 1), np.array([0]))
+        return [i for i, w in zip(out.column("id").to_pylist(), out.column("win").to_pylist()) if w]
 
-def test_hot_copies(spark):
+    _, shard = unite(None, np.array([6]))
+    assert kept(None) == [3, 4] and kept(shard) == [3]
+
+
+def test_hot_copies(spark, monkeypatch):
+    monkeypatch.setattr(seen, "HELD", 100)
     df = spark.range(3000).selectExpr("id", "'v' as k", "case when id % 3 = 0 then 1 else id end as at")
     store = SeenStore(spark, new_path(spark, "seen"))
-    assert store.absorb(df).count() == df.select("at").distinct().count()
+    kept = store.absorb(df)
+    assert kept.count() == df.select("at").distinct().count() and kept.agg({"id": "min"}).first()[0] == 0
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"k": ["v"] * 1000, "span": [0] * 1000, "at": [1] * 1000, "id": list(range(1000))})
+    assert sum(b.num_rows for b in seen._combine(iter([batch] * 5))) == 1
+
+
+def test_waves_cut_at_whole_batches(spark):
+    df = spark.range(100).selectExpr("id", "floor(id / 10) as batch_id")
+    parts = [(w.count(), w.selectExpr("count(distinct batch_id)").first()[0]) for w in waves(df)]
+    assert sum(n for n, _ in parts) == 100 and sum(b for _, b in parts) == 10 and len(parts) == 4
+    assert [w.count() for w in waves(df.limit(0))] == [0]
 
 
 @pytest.mark.parametrize("n", [0, 1])

@@ -75,11 +75,31 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return out.where(F.col("instant_us").isNotNull() & ~F.col("canonical")).select("id", "instant_us")
 
 
+#: Runs of delivery batches that p7_found absorbs one after another.
+WAVES = 4
+
+
+def waves(arrived: DataFrame, n: int = WAVES) -> list[DataFrame]:
+    """``arrived`` (id, batch_id, ...) in ``n`` runs of whole delivery batches, cut at the first id of a batch.
+
+    Ids number the arrivals, so an earlier run holds smaller ids only, also if some rows name no batch or a wrong one.
+    """
+    cuts = arrived.agg(F.percentile_approx("batch_id", [i / n for i in range(1, n)], 1000).alias("b")).first().b or []
+    firsts = arrived.agg(*[F.min(F.when(F.col("batch_id") > c, F.col("id"))).alias(f"c{i}") for i, c in enumerate(cuts)]).first() if cuts else []
+    edges = sorted({x for x in firsts if x is not None})
+    bounds = [None, *edges, None]
+    part = lambda lo, hi: (F.lit(True) if lo is None else F.col("id") >= lo) & (F.lit(True) if hi is None else F.col("id") < hi)
+    return [arrived.where(part(lo, hi)) for lo, hi in zip(bounds, bounds[1:])]
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """Arrivals that repeat an identifier seen before."""
-    arrived = _arrivals(spark, d)
+    """Arrivals that repeat an identifier seen before, in their own batch or in one absorbed earlier."""
+    arrived = _arrivals(spark, d, "batch_id")
     store = SeenStore(spark, new_path(spark, "seen"))
-    first = store.absorb(arrived.select("id", F.col("vehicle_id").alias("k"), F.col("t").alias("at")))
+    kept = [store.absorb(w.select("id", F.col("vehicle_id").alias("k"), F.col("t").alias("at")), i) for i, w in enumerate(waves(arrived))]
+    first = kept[0]
+    for more in kept[1:]:
+        first = first.unionByName(more)
     return arrived.select("id").join(first, "id", "left_anti")
 
 
