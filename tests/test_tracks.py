@@ -6,7 +6,7 @@ from tripwright.operators.runs import agglomerate, alike, plain, runs
 from tripwright.operators import seen
 from tripwright.operators.seen import SeenStore, pack, unite, unpack
 from tripwright.operators.sessions import session_of, sessions
-from tripwright.operators.tracks import implausible, implausible_readings, off_path, stays, stops_and_trips
+from tripwright.operators.tracks import implausible, implausible_readings, off_pace, off_path, stays, stops_and_trips, usual_speed, vanished
 from tripwright.plans.data_queries import waves
 from tripwright.shared import new_path
 
@@ -96,6 +96,28 @@ def test_implausible_values_and_stuck_channels():
     assert set(np.flatnonzero(implausible(t, 50 + np.arange(n) * 0.0009, lon * 0 + 9, speed, np.full(n, 10.0), np.array([0]))[1])) == set(range(11, 20))
 
 
+def test_every_speed_beyond_the_limit_is_an_innovation():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        v = np.abs(rng.normal(8, 6, 100)) * rng.choice([1, 1, 1, 2.9, 3.01, 9], 100)
+        v[rng.random(100) < 0.1] = np.nan
+        assert set(np.flatnonzero(v > 24.0)) <= set(off_pace(v.tolist(), 8.0))
+    assert off_pace([8.0] * 20, 8.0) == [] and off_pace([0.0, float("nan"), 25.0], 8.0) == [2]
+
+
+def test_vanishing_variance():
+    square = np.r_[np.inf, np.zeros(8), 1.0, np.zeros(9), np.inf, np.zeros(12)]
+    assert set(np.flatnonzero(vanished(square))) == {*range(10, 19), *range(20, 32)}
+    assert not vanished(np.zeros(3)).any()
+
+
+def test_usual_speed_falls_back(spark):
+    rows = [("many", i * 10 * S, 50.0, 9.0, 7.0) for i in range(30)] + [("few", i * 600 * S, 50.0, 9.0, 5.0) for i in range(5)]
+    rows += [("steps", i * 10 * S, 50.0 + i * 0.001, 9.0, None) for i in range(9)] + [("slow", i * 600 * S, 50.0 + i * 0.05, 9.0, None) for i in range(9)] + [("none", 0, 50.0, 9.0, None)]
+    got = {r.vehicle_id: r.usual for r in usual_speed(spark.createDataFrame(rows, "vehicle_id string, t bigint, latitude double, longitude double, speed double").selectExpr("*", "0L as span")).collect()}
+    assert got == {"many": 7.05, "few": 5.05, "steps": pytest.approx(11.1, abs=0.1), "slow": pytest.approx(9.26, abs=0.1)}
+
+
 def test_stays_and_moves(spark):
     # drive 10 rows, stand 800 s with jitter, drive 10 rows
     x = np.r_[np.arange(10) * 200.0, 2000 + np.tile([0.0, 8.0, -8.0], 27)[:80], 2200 + np.arange(10) * 200.0]

@@ -1,10 +1,11 @@
 """Per device track: implausible readings, and stops and trips, in one pass over sessions.
 
-Implausible readings: a Kalman filter per session forecasts the position (a random walk whose step is the
-device's usual moving speed); a standardised innovation above the threshold is flagged and its update
-withheld; a flagged stretch stands if the track comes back only by a jump of the same kind. A channel whose
-innovations vanish for long enough, while there is motion, is stuck. Stops and trips: stay points of the readings
-that remain, from an anchor window that grows while it is within the radius.
+Implausible readings: a Kalman filter per session and channel forecasts the reading: the position by a random walk whose
+step is the device's usual moving speed, the speed by a state that falls back to rest. A standardised innovation above the
+threshold is flagged and its update withheld; a stretch of positions stands if the track comes back only by a jump of
+the same kind, a speed if it is TIMES the usual one. A channel the variance of whose innovations vanishes over a window,
+while there is motion, is stuck. What is no coordinate or no speed at all is no measurement and flagged as such. Stops and
+trips: stay points of the readings that remain, from an anchor window that grows while it is within the radius.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import EARTH_M, haversine_m
 from .grouped import map_groups
 from .pings import SPAN_US
-from .sessions import session_of, sessions
+from .sessions import sessions
 
 #: A reading is implausible beyond so many times the usual moving speed.
 TIMES = 3.0
@@ -27,29 +28,35 @@ TIMES = 3.0
 NOISE_M = 10.0
 #: Rows with the very same reading that make a channel stuck.
 STUCK_ROWS = 10
+#: The speed's filter, in usual speeds: the share that lasts to the next reading, the standard deviations of its change
+#: and of a reading; innovations beyond so many standard deviations are withheld.
+LASTS, CHANGE, READING, BEYOND = 0.5, 0.5, 0.25, 2.3
+#: Reported moving speeds from which their median counts; steps up to so long are preferred to longer ones.
+MIN_REPORTS, SHORT_US = 20, 120_000_000
 #: Speeds above show motion, m/s; below the lower one a device stands.
 MOVING, STANDING = 1.0, 0.25
 GAP_US = 14_400_000_000
 RADIUS_M, MIN_STOP_US, TRIP_M = 50.0, 600_000_000, 500.0
 
 
-def usual_speed(rows: DataFrame) -> DataFrame:
-    """(vehicle_id, usual): median moving speed, by reported speeds, or by steps where under 20 are reported.
+def usual_speed(rows: DataFrame, min_reports: int = MIN_REPORTS) -> DataFrame:
+    """(vehicle_id, usual): median moving speed: by reported speeds if there are ``min_reports``, else by steps of at most
+    SHORT_US, else by the fewer reports, else by longer steps.
 
-    Counts per bin of 0.1 m/s are summed before they move, so a vehicle is at most 2,000 rows whatever its pings.
+    Counts per bin of 0.1 m/s are summed before they move, so a vehicle is at most 2,000 rows a kind whatever its pings.
     """
-    reported = rows.where((F.col("speed") > MOVING) & (F.col("speed") < 200)).select("vehicle_id", F.floor(F.col("speed") * 10).alias("bin"))
-    reported = reported.groupBy("vehicle_id", "bin").agg(F.count("*").alias("n"))
-    enough = reported.groupBy("vehicle_id").agg(F.sum("n").alias("n")).where("n >= 20")
-    silent = rows.select("vehicle_id", "span", "t", "latitude", "longitude").join(enough, "vehicle_id", "left_anti")
-    valid = silent.where(valid_position())
+    binned = lambda df, v, kind: df.groupBy("vehicle_id", F.lit(kind).alias("kind"), F.floor(v * 10).alias("bin")).agg(F.count("*").alias("n"))
+    reported = binned(rows.where((F.col("speed") > MOVING) & (F.col("speed") < 200)), F.col("speed"), 2)
+    enough = reported.groupBy("vehicle_id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_reports).select("vehicle_id")
+    silent = rows.select("vehicle_id", "span", "t", "latitude", "longitude").join(enough, "vehicle_id", "left_anti").where(valid_position())
     w = Window.partitionBy("vehicle_id", "span").orderBy("t")
     step = haversine_m(F.lag("latitude").over(w), F.lag("longitude").over(w), F.col("latitude"), F.col("longitude"))
     speed = step / ((F.col("t") - F.lag("t").over(w)) / 1e6)
-    steps = valid.select("vehicle_id", speed.alias("v"), (F.col("t") - F.lag("t").over(w)).alias("dt"))
-    derived = steps.where((F.col("v") > 2 * MOVING) & (F.col("v") < 200) & (F.col("dt") > 0) & (F.col("dt") <= 120_000_000))
-    derived = derived.groupBy("vehicle_id", F.floor(F.col("v") * 10).alias("bin")).agg(F.count("*").alias("n"))
-    bins = reported.join(enough.select("vehicle_id"), "vehicle_id", "left_semi").unionByName(derived)
+    steps = silent.select("vehicle_id", speed.alias("v"), (F.col("t") - F.lag("t").over(w)).alias("dt"))
+    steps = steps.where((F.col("v") > 2 * MOVING) & (F.col("v") < 200) & (F.col("dt") > 0))
+    derived = steps.groupBy("vehicle_id", F.when(F.col("dt") <= SHORT_US, 1).otherwise(3).alias("kind"), F.floor(F.col("v") * 10).alias("bin")).agg(F.count("*").alias("n"))
+    bins = reported.join(enough.withColumn("_enough", F.lit(True)), "vehicle_id", "left").select("vehicle_id", F.when(F.col("_enough"), 0).otherwise(F.col("kind")).alias("kind"), "bin", "n")
+    bins = bins.unionByName(derived).withColumn("_best", F.min("kind").over(Window.partitionBy("vehicle_id"))).where("kind = _best")
     by_bin = Window.partitionBy("vehicle_id").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     ranked = bins.withColumn("up_to", F.sum("n").over(by_bin)).withColumn("all", F.sum("n").over(Window.partitionBy("vehicle_id")))
     return ranked.where(F.col("up_to") * 2 >= F.col("all")).groupBy("vehicle_id").agg(((F.min("bin") + 0.5) / 10).alias("usual"))
@@ -130,49 +137,101 @@ def off_path(t: np.ndarray, x: np.ndarray, y: np.ndarray, usual: float) -> list[
     return flagged
 
 
-def implausible(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, speed: np.ndarray, usual: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position can't be true, speed can't be true) of rows in sessions that begin at ``starts``; NaN: no reading."""
+def off_pace(speed: list[float], usual: float) -> list[int]:
+    """Rows whose speed is further above the filter's forecast than BEYOND standard deviations; NaN readings are passed over.
+
+    In usual speeds the state never exceeds 2.44, so a forecast is at most 1.22, and the limit at most 1.45: every reading
+    above TIMES = 3 is among the rows.
+    """
+    flagged: list[int] = []
+    limit, lasts2, change2, reading2 = BEYOND * BEYOND, LASTS * LASTS, CHANGE * CHANGE, READING * READING
+    m, var = 0.0, change2 / (1 - lasts2)
+    for i, v in enumerate(speed):
+        m *= LASTS
+        var = lasts2 * var + change2
+        if v != v:
+            continue
+        s = var + reading2
+        e = v / usual - m
+        if e > 0 and e * e > limit * s:
+            flagged.append(i)
+            continue
+        gain = var / s
+        m += gain * e
+        var *= 1 - gain
+    return flagged
+
+
+def vanished(square: np.ndarray) -> np.ndarray:
+    """Rows in a window of STUCK_ROWS - 1 innovations whose variance is nothing.
+
+    square: squared innovations of a random walk read without noise (change since the row before), inf where there is none.
+    """
+    k = STUCK_ROWS - 1
+    n = len(square)
+    if n < k:
+        return np.zeros(n, dtype=bool)
+    ends = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(square, k).sum(axis=1) == 0.0)
+    edge = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(edge, ends, 1)
+    np.add.at(edge, ends + k, -1)
+    return np.cumsum(edge[:n]) > 0
+
+
+def implausible(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, speed: np.ndarray, usual: np.ndarray, starts: np.ndarray, speeds: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(position can't be true, speed can't be true) of rows in sessions that begin at ``starts``; NaN: no reading.
+
+    Without ``speeds`` only the former is looked for.
+    """
     n = len(t)
-    with np.errstate(invalid="ignore"):
-        has = ~np.isnan(lat) & ~np.isnan(lon)
-        bad = has & ((lat == 0) | (lon == 0) | (np.abs(lat) > 90) | (np.abs(lon) > 180))
-        fast = (speed < 0) | (speed > TIMES * usual)
     head = np.zeros(n, dtype=bool)
     head[starts] = True
-    # stuck channels: innovations of exactly nothing
+    ends = np.r_[starts[1:], n]
     with np.errstate(invalid="ignore"):
-        first, length = _runs(head | ~(speed == np.r_[np.nan, speed[:-1]]))
-        stuck = (length >= STUCK_ROWS) & (speed[first] > 0)
-        for a, k in zip(first[stuck], length[stuck]):
-            fast[a + 1 : a + k] = True
-        first, length = _runs(head | ~((lat == np.r_[np.nan, lat[:-1]]) & (lon == np.r_[np.nan, lon[:-1]])))
-        frozen = np.zeros(n, dtype=bool)
-        for a, k in zip(first[length >= STUCK_ROWS], length[length >= STUCK_ROWS]):
+        has = ~np.isnan(lat) & ~np.isnan(lon)
+        bad = has & ((lat == 0) | (lon == 0) | (np.abs(lat) > 90) | (np.abs(lon) > 180))
+        fast = speed < 0
+        square = lambda *xs: np.where(head, np.inf, np.nan_to_num(sum((x - np.r_[np.nan, x[:-1]]) ** 2 for x in xs), nan=np.inf, posinf=np.inf))
+        still = vanished(square(lat, lon))
+        if speeds:
+            fast |= vanished(square(speed)) & (speed > 0)
+    frozen = np.zeros(n, dtype=bool)
+    first, length = _runs(still != np.r_[False, still[:-1]])
+    for a, k in zip(first[still[first]] - 1, length[still[first]] + 1):
+        # the series is stuck as far as its speeds show motion
+        with np.errstate(invalid="ignore"):
             own = np.where(np.abs(speed[a : a + k]) <= TIMES * usual[a], speed[a : a + k], np.nan)
-            stand = np.flatnonzero(own > STANDING)
-            if not len(stand):
-                continue
-            # rows in which it stands before and after are no part of the series
-            lo, hi = int(stand[0]), int(stand[-1])
-            while lo > 0 and np.isnan(own[lo - 1]):
-                lo -= 1
-            while hi + 1 < k and np.isnan(own[hi + 1]):
-                hi += 1
-            if lo and not np.isnan(own[:lo]).all() and np.isnan(own[lo]):
-                lo = int(stand[0])
-            if hi - lo + 1 >= STUCK_ROWS and np.nanmean(own[lo : hi + 1]) > MOVING:
-                frozen[a + lo + 1 : a + hi + 1] = True
-    ends = np.r_[starts[1:], n]
+        stand = np.flatnonzero(own > STANDING)
+        if not len(stand):
+            continue
+        # rows in which it stands before and after are no part of the series
+        lo, hi = int(stand[0]), int(stand[-1])
+        while lo > 0 and np.isnan(own[lo - 1]):
+            lo -= 1
+        while hi + 1 < k and np.isnan(own[hi + 1]):
+            hi += 1
+        if lo and not np.isnan(own[:lo]).all() and np.isnan(own[lo]):
+            lo = int(stand[0])
+        if hi - lo + 1 >= STUCK_ROWS and np.nanmean(own[lo : hi + 1]) > MOVING:
+            frozen[a + lo + 1 : a + hi + 1] = True
     good = has & ~bad & ~frozen
     off = np.zeros(n, dtype=bool)
+    # below this no innovation of a speed can be beyond the limit
+    low = BEYOND * math.sqrt(CHANGE * CHANGE + READING * READING)
     for a, b in zip(starts, ends):
-        if not usual[a] > 0:
+        u = float(usual[a])
+        if not u > 0:
             continue
+        if speeds:
+            own = np.where(speed[a:b] >= 0, speed[a:b], np.nan)
+            if (own > low * u).any():
+                beyond = a + np.array(off_pace(own.tolist(), u), dtype=np.int64)
+                fast[beyond[speed[beyond] > TIMES * u]] = True
         rows = a + np.flatnonzero(good[a:b])
         if len(rows) < 3:
             continue
         x, y = _metres(lat[rows], lon[rows])
-        out = off_path((t[rows] - t[a]) / 1e6, x, y, float(usual[a]))
+        out = off_path((t[rows] - t[a]) / 1e6, x, y, u)
         off[rows[out]] = True
     return bad | frozen | off, fast
 
@@ -196,7 +255,9 @@ def stays(t: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
             i += 1
             continue
         lo, hi = i, j - 1
-        for _ in range(8):
+        before: set[tuple[int, int]] = set()
+        while (lo, hi) not in before:  # until it stays as it is, or comes round
+            before.add((lo, hi))
             cx, cy = float(np.median(x[lo : hi + 1])), float(np.median(y[lo : hi + 1]))
             near = lambda k: (xs[k] - cx) ** 2 + (ys[k] - cy) ** 2 <= r2  # noqa: B023, E731
             a, b = lo, hi
@@ -208,8 +269,6 @@ def stays(t: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
                 a -= 1
             while b + 1 < n and near(b + 1):
                 b += 1
-            if (a, b) == (lo, hi):
-                break
             lo, hi = a, b
         if ts[hi] - ts[lo] >= MIN_STOP_US:
             found.append((lo, hi))
@@ -237,7 +296,7 @@ def _flag_kernel(table: pa.Table, starts: np.ndarray) -> pa.Table:
 
 def _move_kernel(table: pa.Table, starts: np.ndarray) -> pa.Table:
     t, lat, lon, speed, usual = (c if k == 0 else c.astype(float) for k, c in enumerate(_columns(table, "t", "latitude", "longitude", "speed", "usual")))
-    where, _ = implausible(t, lat, lon, speed, usual, starts)
+    where, _ = implausible(t, lat, lon, speed, usual, starts, speeds=False)
     good = ~where & ~np.isnan(lat) & ~np.isnan(lon)
     vehicles = table.column("vehicle_id")
     out: list[tuple] = []
