@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 
 from tripwright.functions.timestamps import CANONICAL, readings
+from tripwright.operators import timestamps as T
 from tripwright.operators.timestamps import normalise, viterbi
 
 SCHEMA = "id bigint, feed_id string, vehicle_id string, timestamp string, received_at timestamp"
@@ -90,6 +91,18 @@ def test_undeclared_order_follows_the_neighbours(spark):
     assert {r.id: r.instant_us for r in out.collect()}[1] == us(2024, 11, 10, 8)
 
 
+@pytest.mark.parametrize("chunk", [1, 2, 3, 7])
+def test_seams_change_no_path(spark, monkeypatch, chunk):
+    rng = np.random.default_rng(chunk)
+    day = lambda: f"{rng.integers(1, 29):02d}/{rng.integers(1, 29):02d}/2024 08:00:00"
+    rows = [(i, "F", "vw"[i % 2], None if i % 11 == 0 else "2024-03-05T08:00:00Z" if i % 13 == 0 else day(), None) for i in range(60)]
+    pings, feeds = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([("F", "UTC", None)], FEEDS)
+    whole = {r.id: (r.instant_us, r.canonical) for r in normalise(pings, feeds).collect()}
+    monkeypatch.setattr(T, "CHUNK", chunk)
+    cut = normalise(pings, feeds).collect()
+    assert len(cut) == len(rows) and {r.id: (r.instant_us, r.canonical) for r in cut} == whole
+
+
 def test_unknown_feed_repeated_ids_and_empty(spark):
     feeds = spark.createDataFrame([], FEEDS)
     rows = [(1, None, None, "2024-10-01 06:00:00", None), (1, "x", " ", "2024-10-01T06:00:00Z", None), (2, "x", "v", None, None)]

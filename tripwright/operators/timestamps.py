@@ -11,17 +11,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timestamps import is_canonical, readings, trimmed
+from ..shared import stage
 from .grouped import map_groups
 
 #: Price of a change of notation, and of a step back in time by more than BACK_US.
 SWITCH, BACK, BACK_US = 1.0, 2.0, 3_600_000_000
 #: A row takes part in two steps of a path: its choice saves at most so much elsewhere.
 SLACK = 2 * (SWITCH + BACK)
-#: Rows of a source are taken in runs of so many arrivals, so that no source is one task.
+#: Rows of a source are searched in runs of so many arrivals, so that no source is one task; paths go on across the seams.
 CHUNK = 1 << 20
 
 _NEVER = np.iinfo(np.int64).max
@@ -95,16 +97,57 @@ def viterbi(cost: np.ndarray, us: np.ndarray, fmt: np.ndarray, offsets: np.ndarr
     return pick
 
 
-def _choose(table: pa.Table, starts: np.ndarray) -> pa.Table:
-    lists = table.column("readings")
+def _lists(table: pa.Table) -> tuple[np.ndarray, pa.StructArray]:
+    lists = table.column("readings").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    offsets = lists.offsets.to_numpy().astype(np.int64)
-    flat = lists.values
+    return lists.offsets.to_numpy().astype(np.int64), lists.values
+
+
+def _chosen(table: pa.Table, starts: np.ndarray) -> pa.Array:
+    """The instant of each row by Viterbi, null where it has no reading."""
+    offsets, flat = _lists(table)
     cost, us, fmt = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("cost", "us", "fmt"))
     pick = viterbi(cost, us, fmt, offsets, starts)
     instant = np.zeros(len(pick), dtype=np.int64)
     instant[pick >= 0] = us[pick[pick >= 0]]
-    return pa.table({"id": table.column("id"), "instant_us": pa.array(instant, mask=pick < 0), "canonical": table.column("canonical")})
+    return pa.array(instant, mask=pick < 0)
+
+
+OPEN, FIXED = 1, 2
+_PARTS = "id bigint, instant_us bigint, canonical boolean, seam int, f string, v string, readings array<struct<cost:double,us:bigint,fmt:int>>"
+
+
+def _within(table: pa.Table, starts: np.ndarray) -> pa.Table:
+    """What the rows of one run decide alone; rows beyond its first and last fixed point go on to the seams, with those points."""
+    offsets, _ = _lists(table)
+    count = np.diff(offsets)
+    n = len(count)
+    done = _chosen(table, starts)
+    seam = np.zeros(n, dtype=np.int32)
+    points: list[int] = []
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), n]):
+        fixed = a + np.flatnonzero(count[a:b] == 1)
+        lo, hi = (int(fixed[0]), int(fixed[-1])) if len(fixed) else (b, b - 1)
+        seam[a:lo][count[a:lo] > 1] = OPEN
+        if len(fixed):
+            seam[hi + 1 : b][count[hi + 1 : b] > 1] = OPEN
+            points.extend({lo, hi})
+    rows = np.r_[np.arange(n), np.array(sorted(points), dtype=np.int64)]
+    seams = np.r_[seam, np.full(len(points), FIXED, dtype=np.int32)]
+    take = lambda a: (a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a).take(pa.array(rows))
+    drop = pa.array(seams == 0)
+    null = lambda a: pc.if_else(drop, pa.scalar(None, a.type), a)
+    held = np.flatnonzero(seams > 0)
+    back = np.full(len(rows), -1, dtype=np.int64)
+    back[held] = np.arange(len(held))
+    lists = take(table.column("readings")).take(pa.array(held)).take(pa.array(back, mask=back < 0))
+    return pa.table({"id": take(table.column("id")), "instant_us": take(done), "canonical": take(table.column("canonical")), "seam": seams, "f": null(take(table.column("f"))), "v": null(take(table.column("v"))), "readings": lists})
+
+
+def _across(table: pa.Table, starts: np.ndarray) -> pa.Table:
+    own = np.asarray(table.column("seam").to_numpy()) == OPEN
+    out = pa.table({"id": table.column("id"), "instant_us": _chosen(table, starts), "canonical": table.column("canonical")})
+    return out.filter(pa.array(own))
 
 
 def with_readings(pings: DataFrame, feeds: DataFrame) -> DataFrame:
@@ -132,9 +175,14 @@ def normalise(pings: DataFrame, feeds: DataFrame) -> DataFrame:
     """(id, instant_us, canonical) of every row: the instant it denotes or null, by Viterbi per source.
 
     canonical: the value is already written as yyyy-MM-ddTHH:mm:ss[.f]Z. Rows with equal ids each come out. A
-    source is a feed's device; runs of CHUNK arrivals of one are searched apart.
+    source is a feed's device. Each run of CHUNK arrivals is searched apart as far as its first and last row with one
+    reading reach: those are fixed points, on either side of which paths don't depend on each other. What lies
+    beyond them meets the neighbouring runs in a second search over the source, so seams change no path.
     """
-    return map_groups(with_readings(pings, feeds), ["f", "v", "chunk"], ["id"], _choose, "id bigint, instant_us bigint, canonical boolean")
+    parts = stage(map_groups(with_readings(pings, feeds), ["f", "v", "chunk"], ["id"], _within, _PARTS), "paths")
+    out = ("id", "instant_us", "canonical")
+    rest = map_groups(parts.where("seam > 0").drop("instant_us"), ["f", "v"], ["id"], _across, "id bigint, instant_us bigint, canonical boolean")
+    return parts.where("seam = 0").select(*out).unionByName(rest)
 
 
 def settled(pings: DataFrame, feeds: DataFrame, *columns: str) -> DataFrame:
