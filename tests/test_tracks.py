@@ -64,6 +64,8 @@ def test_open_choices_go_through_the_path_search(spark):
     rows = [(i, "v", t, 1.0, 1.0, 1.0, None, "F", None, None) for i, t in enumerate(["13/10/2024 08:00:00", "10/11/2024 08:00:00", "14/10/2024 08:00:00"])]
     out = P.kept_rows(spark.createDataFrame(rows, PINGS), spark.createDataFrame([("F", "UTC", None)], FEEDS))
     assert {r.id: r.t for r in out.collect()}[1] == 1731225600 * S
+    twice = P.arrivals(spark.createDataFrame(rows + rows, PINGS), spark.createDataFrame([("F", "UTC", None)], FEEDS), "latitude", "feed_id")
+    assert twice.count() == 6 and twice.columns == ["id", "vehicle_id", "t", "span", "latitude", "feed_id"]  # repeated ids don't multiply
 
 
 def test_spikes_are_left_as_they_were_reached():

@@ -31,8 +31,7 @@ def arrivals(pings: DataFrame, feeds: DataFrame, *columns: str) -> DataFrame:
     out.write.parquet(path)
     if seen.get["open"]:
         path = new_path(spark, "arrivals")
-        instants = normalise(pings, feeds).where("instant_us is not null").select(F.col("id").alias("_id"), "instant_us")
-        rows.join(instants, F.col("id") == F.col("_id")).select(*shape).write.parquet(path)
+        normalise(rows, feeds, "vehicle_id", *columns).where("instant_us is not null").select(*shape).write.parquet(path)
     return spark.read.schema(out.schema).parquet(path)
 
 

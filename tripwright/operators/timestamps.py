@@ -114,7 +114,7 @@ def _chosen(table: pa.Table, starts: np.ndarray) -> pa.Array:
 
 
 OPEN, FIXED = 1, 2
-_PARTS = "id bigint, instant_us bigint, canonical boolean, seam int, f string, v string, readings array<struct<cost:double,us:bigint,fmt:int>>"
+_SEAM = "seam int, f string, v string, readings array<struct<cost:double,us:bigint,fmt:int>>"
 
 
 def _within(table: pa.Table, starts: np.ndarray) -> pa.Table:
@@ -141,22 +141,27 @@ def _within(table: pa.Table, starts: np.ndarray) -> pa.Table:
     back = np.full(len(rows), -1, dtype=np.int64)
     back[held] = np.arange(len(held))
     lists = take(table.column("readings")).take(pa.array(held)).take(pa.array(back, mask=back < 0))
-    return pa.table({"id": take(table.column("id")), "instant_us": take(done), "canonical": take(table.column("canonical")), "seam": seams, "f": null(take(table.column("f"))), "v": null(take(table.column("v"))), "readings": lists})
+    passed = {k: take(table.column(k)) for k in table.schema.names if k.startswith("_c")}
+    return pa.table({"id": take(table.column("id")), **passed, "instant_us": take(done), "canonical": take(table.column("canonical")), "seam": seams, "f": null(take(table.column("f"))), "v": null(take(table.column("v"))), "readings": lists})
 
 
 def _across(table: pa.Table, starts: np.ndarray) -> pa.Table:
     own = np.asarray(table.column("seam").to_numpy()) == OPEN
-    out = pa.table({"id": table.column("id"), "instant_us": _chosen(table, starts), "canonical": table.column("canonical")})
+    passed = {k: table.column(k) for k in table.schema.names if k.startswith("_c")}
+    out = pa.table({"id": table.column("id"), **passed, "instant_us": _chosen(table, starts), "canonical": table.column("canonical")})
     return out.filter(pa.array(own))
 
 
-def with_readings(pings: DataFrame, feeds: DataFrame) -> DataFrame:
-    """(id, f, v, chunk, canonical, readings): all valid readings of every row, as array<struct<cost,us,fmt>>."""
+def with_readings(pings: DataFrame, feeds: DataFrame, *columns: str) -> DataFrame:
+    """(id, f, v, chunk, canonical, readings, _c0, ...): all valid readings of every row, as array<struct<cost,us,fmt>>;
+    ``columns`` of the row go along as _c0 and so on."""
     rows = pings.withColumns({
         "f": F.col("feed_id"), "v": trimmed(F.col("vehicle_id")), "chunk": F.floor(F.col("id") / CHUNK),
-        "canonical": F.coalesce(is_canonical(F.col("timestamp")), F.lit(False)),
+        "canonical": F.coalesce(is_canonical(F.col("timestamp")), F.lit(False)), **{f"_c{i}": F.col(c) for i, c in enumerate(columns)},
     })
-    rows = _with_rules(rows, feeds, "id", "f", "v", "chunk", "canonical")
+    passed = [f"_c{i}" for i in range(len(columns))]
+    kinds = "".join(f", {k} {rows.schema[k].dataType.simpleString()}" for k in passed)
+    rows = _with_rules(rows, feeds, "id", "f", "v", "chunk", "canonical", *passed)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -167,22 +172,25 @@ def with_readings(pings: DataFrame, feeds: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets), flat)
             yield pa.RecordBatch.from_pydict(_passed(b) | {"readings": lists})
 
-    schema = "id bigint, f string, v string, chunk bigint, canonical boolean, readings array<struct<cost:double,us:bigint,fmt:int>>"
+    schema = f"id bigint, f string, v string, chunk bigint, canonical boolean{kinds}, readings array<struct<cost:double,us:bigint,fmt:int>>"
     return rows.mapInArrow(kernel, schema)
 
 
-def normalise(pings: DataFrame, feeds: DataFrame) -> DataFrame:
-    """(id, instant_us, canonical) of every row: the instant it denotes or null, by Viterbi per source.
+def normalise(pings: DataFrame, feeds: DataFrame, *columns: str) -> DataFrame:
+    """(id, *columns, instant_us, canonical) of every row: the instant it denotes or null, by Viterbi per source.
 
     canonical: the value is already written as yyyy-MM-ddTHH:mm:ss[.f]Z. Rows with equal ids each come out. A
     source is a feed's device. Each run of CHUNK arrivals is searched apart as far as its first and last row with one
     reading reach: those are fixed points, on either side of which paths don't depend on each other. What lies
     beyond them meets the neighbouring runs in a second search over the source, so seams change no path.
     """
-    parts = stage(map_groups(with_readings(pings, feeds), ["f", "v", "chunk"], ["id"], _within, _PARTS), "paths")
-    out = ("id", "instant_us", "canonical")
-    rest = map_groups(parts.where("seam > 0").drop("instant_us"), ["f", "v"], ["id"], _across, "id bigint, instant_us bigint, canonical boolean")
-    return parts.where("seam = 0").select(*out).unionByName(rest)
+    rows = with_readings(pings, feeds, *columns)
+    passed = [f"_c{i}" for i in range(len(columns))]
+    shape = "id bigint" + "".join(f", {k} {rows.schema[k].dataType.simpleString()}" for k in passed) + ", instant_us bigint, canonical boolean"
+    parts = stage(map_groups(rows, ["f", "v", "chunk"], ["id"], _within, f"{shape}, {_SEAM}"), "paths")
+    rest = map_groups(parts.where("seam > 0").drop("instant_us"), ["f", "v"], ["id"], _across, shape)
+    out = ["id", *[F.col(k).alias(c) for k, c in zip(passed, columns)], "instant_us", "canonical"]
+    return parts.where("seam = 0").select("id", *passed, "instant_us", "canonical").unionByName(rest).select(*out)
 
 
 def settled(pings: DataFrame, feeds: DataFrame, *columns: str) -> DataFrame:
