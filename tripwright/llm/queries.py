@@ -4,15 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import pings as P
 from .encoding import encoded
 from .lookalike import alike_pairs, learn, unified
 from .mixing import Mixture, mix
+from .runs import runs
 from ..shared import stage
 from ..sources.tables import table
 
 TOKENIZER = "byte_bpe_50k"
 
 
+def _runs(spark: SparkSession, d: str, **how: object) -> DataFrame:
+    rows = P.kept(P.arrivals(table(spark, d, "gps_data"), table(spark, d, "feeds"), "direction"))
+    return runs(rows, "vehicle_id", "t", "span", "direction", **how)
+
+
+def p4_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of like direction with duration and number of pings."""
+    return _runs(spark, d)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of two or more pings."""
+    return p4_runs(spark, d).where("n_events >= 2").select("vehicle_id", "start_us", "end_us")
+
+
+def p4_near(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of nearly the same direction, joined over silences of at most ten minutes."""
+    return _runs(spark, d, similarity=0.6, max_gap_us=600_000_000)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return encoded(table(spark, d, "documents"), "doc_id", "text", TOKENIZER)
@@ -47,5 +69,5 @@ def p10_unified(spark: SparkSession, d: str) -> DataFrame:
     return _forms(spark, d).select("doc_id", "unified")
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_mixture, p9_shares, p10_found, p10_unified)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_runs, p4_near, p8_ids, p9_mixture, p9_shares, p10_found, p10_unified)}
 ORACLE: dict[str, str] = {}
