@@ -2,7 +2,6 @@ import numpy as np
 import pytest
 
 from tripwright.operators import pings as P
-from tripwright.operators.runs import agglomerate, alike, plain, runs
 from tripwright.operators import seen
 from tripwright.operators.seen import SeenStore, pack, unite, unpack
 from tripwright.operators.sessions import session_of, sessions
@@ -57,7 +56,6 @@ def test_kept_rows_and_empty_tables(spark):
     assert empty.count() == 0
     assert implausible_readings(empty).count() == 0
     assert stops_and_trips(empty).count() == 0
-    assert runs(empty, "vehicle_id", "t", "span", "direction").count() == 0
 
 
 def test_open_choices_go_through_the_path_search(spark):
@@ -131,21 +129,6 @@ def test_stays_and_moves(spark):
     assert got == [("stop", 100, 890, 80), ("trip", 0, 100, 11), ("trip", 890, 990, 11)]
 
 
-def test_runs(spark):
-    rows = [("a", i * S, v) for i, v in enumerate(["In", "in", None, "IN.", "out", "o-u t", " ", "in"])] + [("b", 0, "x"), ("b", GAP + 1, "x")]
-    df = spark.createDataFrame(rows, "k string, t bigint, d string").selectExpr("*", "floor(t / 2000000) as sp")  # a span holds two rows
-    got = sorted((r.k, r.value, r.start_us // S, r.end_us // S, r.n_events) for r in runs(df, "k", "t", "sp", "d").collect())
-    assert got == [("a", "in", 0, 3, 3), ("a", "in", 7, 7, 1), ("a", "out", 4, 5, 2), ("b", "x", 0, 0, 1), ("b", "x", GAP // S, GAP // S, 1)]
-
-
-def test_agglomeration_takes_the_most_similar_first():
-    keys = ["northbound", "northbund", "southbound"]
-    got = agglomerate(keys, [0, 1, 2], [0, 1, 2], [2, 1, 1], [True, True, False], 0.8, None)
-    assert [(g[0], g[3]) for g in got] == [("northbound", 3), ("southbound", 1)]
-    assert agglomerate(keys, [0, 9, 10], [0, 9, 10], [1, 1, 1], [True, True, False], 0.7, 5)[0][3] == 1
-    assert plain("In-Bound.") == "inbound" and alike("a", "b") == 0.0
-
-
 def test_seen_bitmaps_round_trip():
     rng = np.random.default_rng(1)
     for n in (1, 10, 5000):

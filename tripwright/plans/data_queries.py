@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators import pings as P
 from ..operators.proximity import near
-from ..operators.runs import runs
 from ..operators.seen import SeenStore
 from ..operators.sessions import sessions
 from ..operators.timestamps import normalise
@@ -54,16 +53,6 @@ def p3_near(spark: SparkSession, d: str) -> DataFrame:
     return near(table(spark, d, "stops_data"), table(spark, d, "terminals_data"), 250.0, "stop_id", "terminal_id")
 
 
-def p4_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of like direction with duration and number of pings."""
-    return runs(P.kept(_arrivals(spark, d, "direction")), "vehicle_id", "t", "span", "direction")
-
-
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of two or more pings."""
-    return p4_runs(spark, d).where("n_events >= 2").select("vehicle_id", "start_us", "end_us")
-
-
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Positions and speeds that can't be true."""
     return implausible_readings(_track_rows(spark, d))
@@ -103,7 +92,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return arrived.select("id").join(first, "id", "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sessions, p2_found, p2_moves, p3_found, p3_near, p4_found, p4_runs, p5_found, p6_found, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sessions, p2_found, p2_moves, p3_found, p3_near, p5_found, p6_found, p7_found)}
 
 _VALID = "latitude <> 0 AND longitude <> 0 AND abs(latitude) <= 90 AND abs(longitude) <= 180"
 _NEAR = f"""
