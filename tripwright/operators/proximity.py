@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_M
@@ -45,6 +45,14 @@ def _spread(v: np.ndarray) -> np.ndarray:
     return v
 
 
+def _unspread(v: np.ndarray) -> np.ndarray:
+    """Every other bit of ``v``, from the lowest, put together."""
+    v = v.astype(np.uint64) & np.uint64(0x5555555555555555)
+    for shift, mask in ((1, 0x3333333333333333), (2, 0x0F0F0F0F0F0F0F0F), (4, 0x00FF00FF00FF00FF), (8, 0x0000FFFF0000FFFF), (16, 0x00000000FFFFFFFF)):
+        v = (v | (v >> np.uint64(shift))) & np.uint64(mask)
+    return v.astype(np.int64)
+
+
 def morton(lat: np.ndarray, lon: np.ndarray, depth: int) -> np.ndarray:
     """Place of points along the Z-order curve of the finest grid; a quadtree leaf is an interval of it."""
     x, y = _cell(lat, lon, depth)
@@ -267,6 +275,11 @@ def _points(df: DataFrame, key: str, lat: str, lon: str, valid: bool = True) ->
     return p.where(ok).distinct()
 
 
+def _mixed(points: DataFrame) -> DataFrame:
+    """``points`` with a number by which the rows of a hot leaf are shared out."""
+    return points.withColumn("mix", F.xxhash64("key", "lat", "lon").bitwiseAND(F.lit(2**62 - 1)))
+
+
 def _plane(*sides: DataFrame) -> Plane:
     """The square that holds the points of all sides."""
     bounds = [x.agg(F.min("lat"), F.min("lon"), F.max("lat"), F.max("lon")).first() for x in sides]
@@ -307,7 +320,8 @@ def near(probes: DataFrame, targets: DataFrame, distance_m: float, probe_key: st
     def place(x: pa.RecordBatch, row: np.ndarray, leaf: np.ndarray, target: bool) -> pa.RecordBatch:
         """Each row of a hot leaf to one share of its own side, with every share of the other."""
         own, other = (spread_t, spread_p) if target else (spread_p, spread_t)
-        share = (np.arange(len(row)) * 2654435761 % 4294967296) % own[leaf]
+        # by the row itself, so that a task that runs again places it as before
+        share = x.column("mix").to_numpy()[row] % own[leaf]
         copies = other[leaf]
         k = np.arange(int(copies.sum())) - np.repeat(np.cumsum(copies) - copies, copies)
         row, leaf, share = np.repeat(row, copies), np.repeat(leaf, copies), np.repeat(share, copies)
@@ -325,11 +339,122 @@ def near(probes: DataFrame, targets: DataFrame, distance_m: float, probe_key: st
             yield place(x, *surface.reached(x.column("lat").to_numpy(), x.column("lon").to_numpy(), distance_m, leaves, depth), True)
 
     schema = "leaf bigint, salt bigint, target boolean, key string, lat double, lon double"
-    placed = a.mapInArrow(place_probes, schema).unionByName(b.mapInArrow(place_targets, schema))
+    placed = _mixed(a).mapInArrow(place_probes, schema).unionByName(_mixed(b).mapInArrow(place_targets, schema))
     pairs = map_groups(placed, ["leaf", "salt"], [], _kernel(distance_m, surface, closest), "a string, b string, metres double")
     return pairs.groupBy("a", "b").agg(F.min("metres").alias("metres")).select(F.col("a").alias(probe_key), F.col("b").alias(target_key), "metres")
 
 
+#: Edges of one region handed to a leaf at a time.
+_EDGES = 200_000
+
+
+def _crossings(lat: np.ndarray, lon: np.ndarray, y1: np.ndarray, x1: np.ndarray, y2: np.ndarray, x2: np.ndarray) -> np.ndarray:
+    """How often the ray east of each point crosses the edges; one kind of end of an edge counts, so corners count once."""
+    out = np.zeros(len(lat), dtype=np.int64)
+    step = max(1, 4_000_000 // max(len(y1), 1))
+    for i in range(0, len(lat), step):
+        y, x = lat[i : i + step, None], lon[i : i + step, None]
+        spans = (y1 > y) != (y2 > y)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            at = (x2 - x1) * (y - y1) / (y2 - y1) + x1
+        out[i : i + step] = (spans & (x < at)).sum(axis=1)
+    return out
+
+
+def _region_kernel(table: pa.Table, starts: np.ndarray) -> pa.Table:
+    side = table.column("target").to_numpy(zero_copy_only=False)
+    lat, lon, lat2, lon2 = (table.column(c).to_numpy() for c in ("lat", "lon", "lat2", "lon2"))
+    ids = table.column("key").combine_chunks()
+    codes = ids.dictionary_encode()
+    codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+    code = np.asarray(codes.indices)
+    probe, region, times = [], [], []
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(lat)]):
+        edges, points = a + np.flatnonzero(side[a:b]), a + np.flatnonzero(~side[a:b])
+        if not len(edges) or not len(points):
+            continue
+        edges = edges[np.argsort(code[edges], kind="stable")]
+        cut = np.flatnonzero(np.r_[True, np.diff(code[edges]) != 0])
+        points = points[np.argsort(lat[points], kind="stable")]
+        for e in np.split(edges, cut[1:]):
+            # only points that a ray can take across one of the edges
+            lo = np.searchsorted(lat[points], min(lat[e].min(), lat2[e].min()), side="left")
+            hi = np.searchsorted(lat[points], max(lat[e].max(), lat2[e].max()), side="right")
+            near = points[lo:hi]
+            n = _crossings(lat[near], lon[near], lat[e], lon[e], lat2[e], lon2[e])
+            hit = n > 0
+            probe.append(near[hit]), times.append(n[hit]), region.append(np.full(int(hit.sum()), e[0]))
+    flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return pa.table({"a": ids.take(pa.array(flat(probe))), "lat": lat[flat(probe)], "lon": lon[flat(probe)], "b": ids.take(pa.array(flat(region))), "n": pa.array(flat(times), pa.int64())})
+
+
+def inside(points: DataFrame, regions: DataFrame, point_key: str, region_key: str, lat: str = "latitude", lon: str = "longitude", order: str = "vertex_seq") -> DataFrame:
+    """Distinct (point_key, region_key): any position of the one within the region of the other, by the even-odd rule.
+
+    regions: a row a vertex, in order of ``order`` and then of position; repeated vertices count once, the last is joined to
+    the first. Straight edges between longitude and latitude as on a plane; a region over the date line is given
+    as two. A point on an edge counts as inside if the region lies north or east of it. Null, NaN and infinite
+    coordinates, null keys and null orders take no part, nor do regions of under three vertices. Empty tables give none.
+
+    The plane is cut into leaves of the quadtree of a sample of the points. An edge goes to each leaf from which a ray to the
+    east can cross it and that isn't all west of its region; a point is counted against the edges of its leaf, and the crossings of a pair are its parity. A region
+    of any number of vertices is thus many rows in many leaves, never one object.
+    """
+    own = _points(points, point_key, lat, lon, False)
+    v = regions.select(F.col(region_key).cast("string").alias("key"), F.col(order).cast("double").alias("o"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"))
+    v = v.where("key is not null and o is not null and not isnan(o)").where((F.abs("lat") < float("inf")) & (F.abs("lon") < float("inf"))).distinct()
+    ring = Window.partitionBy("key").orderBy("o", "lat", "lon")
+    whole = Window.partitionBy("key")
+    edges = v.withColumns({"lat2": F.lead("lat").over(ring), "lon2": F.lead("lon").over(ring), "_n": F.count("*").over(whole), "_first": F.min(F.struct("o", "lat", "lon")).over(whole)}).where("_n >= 3")
+    edges = edges.withColumn("west", F.min("lon").over(whole))
+    edges = edges.select("key", "lat", "lon", F.coalesce("lat2", "_first.lat").alias("lat2"), F.coalesce("lon2", "_first.lon").alias("lon2"), "west").where("lat <> lat2")
+    edges = stage(edges, "edges")
+    surface = _plane(own, edges.select("lat", "lon"))
+    surface.width *= 1.000001
+    share = min(1.0, SAMPLE / max(own.count(), 1))
+    got = (own if share == 1.0 else own.sample(share, 7)).select("lat", "lon").limit(2 * SAMPLE).toPandas()
+    depth = DEPTH // 2
+    codes = surface.codes(got.lat.to_numpy(float), got.lon.to_numpy(float), depth)
+    leaves = quadtree(codes, depth)
+    spread = np.maximum(1, np.ceil(np.bincount(np.searchsorted(leaves, codes, side="right") - 1, minlength=len(leaves)) / share / TASK_ROWS)).astype(np.int64)
+    # leaves as boxes: rows (lat) and columns (lon) of the finest grid
+    size = np.diff(np.r_[leaves, 1 << (2 * depth)])
+    side = np.sqrt(size).astype(np.int64)
+    row0, col0 = _unspread(leaves), _unspread(leaves >> 1)
+    schema = "leaf bigint, salt bigint, target boolean, key string, lat double, lon double, lat2 double, lon2 double"
+
+    def out(x: pa.RecordBatch, row: np.ndarray, leaf: np.ndarray, salt: np.ndarray, target: bool) -> pa.RecordBatch:
+        at = pa.array(row)
+        second = {c: x.column(c).take(at) if target else pa.nulls(len(row), pa.float64()) for c in ("lat2", "lon2")}
+        return pa.RecordBatch.from_pydict({"leaf": pa.array(leaf), "salt": pa.array(salt), "target": pa.array(np.full(len(row), target)), **{c: x.column(c).take(at) for c in ("key", "lat", "lon")}, **second})
+
+    def place_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            leaf = np.searchsorted(leaves, surface.codes(x.column("lat").to_numpy(), x.column("lon").to_numpy(), depth), side="right") - 1
+            yield out(x, np.arange(len(leaf)), leaf, x.column("mix").to_numpy() % spread[leaf], False)
+
+    def place_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 1 << depth
+        grid = lambda v, o: np.clip(np.floor((v - o) / surface.width * n), 0, n - 1).astype(np.int64)
+        for x in batches:
+            y1, x1, y2, x2 = (x.column(c).to_numpy() for c in ("lat", "lon", "lat2", "lon2"))
+            low, high = grid(np.minimum(y1, y2), surface.x), grid(np.maximum(y1, y2), surface.x)
+            west, east = grid(x.column("west").to_numpy(), surface.y), grid(np.maximum(x1, x2), surface.y)
+            for i in range(0, len(y1), max(1, _EDGES * 10 // len(leaves))):
+                j = np.arange(i, min(len(y1), i + max(1, _EDGES * 10 // len(leaves))))
+                meets = (row0[None] <= high[j, None]) & ((row0 + side)[None] > low[j, None]) & (col0[None] <= east[j, None]) & ((col0 + side)[None] > west[j, None])
+                row, leaf = np.nonzero(meets)
+                row = j[row]
+                copies = spread[leaf]
+                salt = np.arange(int(copies.sum())) - np.repeat(np.cumsum(copies) - copies, copies)
+                yield out(x, np.repeat(row, copies), np.repeat(leaf, copies), salt, True)
+
+    placed = _mixed(own).mapInArrow(place_points, schema).unionByName(edges.mapInArrow(place_edges, schema))
+    found = map_groups(placed, ["leaf", "salt"], ["key"], _region_kernel, "a string, lat double, lon double, b string, n bigint")
+    odd = found.groupBy("a", "lat", "lon", "b").agg(F.sum("n").alias("n")).where("n % 2 = 1")
+    return odd.select(F.col("a").alias(point_key), F.col("b").alias(region_key)).distinct()
+
+
 def nearest_pairs(probes: DataFrame, targets: DataFrame, probe_key: str, target_key: str, lat: str = "latitude", lon: str = "longitude", projected: bool = False) -> DataFrame:
     """(probe_key, target_key, metres): the nearest target of each probe at any distance, with those equally near.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import pings as P
-from ..operators.proximity import near
+from ..operators.proximity import inside, near
 from ..operators.seen import SeenStore
 from ..operators.sessions import sessions
 from ..operators.timestamps import normalise
@@ -50,7 +50,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_near(spark: SparkSession, d: str) -> DataFrame:
     """The same with the least distance of each pair."""
-    return near(table(spark, d, "stops_data"), table(spark, d, "terminals_data"), 250.0, "stop_id", "terminal_id")
+    pairs = near(table(spark, d, "stops_data"), table(spark, d, "terminals_data"), 250.0, "stop_id", "terminal_id")
+    return pairs.withColumn("metres", F.round("metres", 6))
+
+
+def p3_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Stops within the regions that the lines of routes enclose."""
+    rings = table(spark, d, "route_lines").withColumn("region", F.concat("route_id", F.lit("/"), "direction"))
+    return inside(table(spark, d, "stops_data"), rings, "stop_id", "region")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -92,7 +99,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return arrived.select("id").join(first, "id", "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sessions, p2_found, p2_moves, p3_found, p3_near, p5_found, p6_found, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sessions, p2_found, p2_moves, p3_found, p3_near, p3_regions, p5_found, p6_found, p7_found)}
 
 _VALID = "latitude <> 0 AND longitude <> 0 AND abs(latitude) <= 90 AND abs(longitude) <= 180"
 _NEAR = f"""
@@ -102,6 +109,15 @@ m AS (
   SELECT stop_id, terminal_id, 2 * 6371000.0 * asin(least(1, sqrt(pow(sin(radians(t.latitude - s.latitude) / 2), 2)
     + cos(radians(s.latitude)) * cos(radians(t.latitude)) * pow(sin(radians(t.longitude - s.longitude) / 2), 2)))) AS metres
   FROM s JOIN t ON abs(s.latitude - t.latitude) < 0.003)
-SELECT DISTINCT stop_id, terminal_id FROM m WHERE metres <= 250"""
-
-ORACLE = {"p3_found": _NEAR}
+SELECT stop_id, terminal_id, round(min(metres), 6) AS metres FROM m WHERE metres <= 250 GROUP BY ALL"""
+
+_REGIONS = """
+WITH v AS (SELECT DISTINCT route_id || '/' || direction AS region, vertex_seq, latitude, longitude FROM route_lines
+  WHERE route_id IS NOT NULL AND direction IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL AND vertex_seq IS NOT NULL),
+e AS (SELECT region, latitude AS y1, longitude AS x1, coalesce(lead(latitude) OVER w, first_value(latitude) OVER w) AS y2, coalesce(lead(longitude) OVER w, first_value(longitude) OVER w) AS x2,
+  count(*) OVER (PARTITION BY region) AS n FROM v WINDOW w AS (PARTITION BY region ORDER BY vertex_seq, latitude, longitude)),
+p AS (SELECT DISTINCT stop_id, latitude AS y, longitude AS x FROM stops_data WHERE stop_id IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL),
+c AS (SELECT stop_id, y, x, region, count(*) AS k FROM p JOIN e ON n >= 3 AND (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY ALL)
+SELECT DISTINCT stop_id, region FROM c WHERE k % 2 = 1"""
+
+ORACLE = {"p3_found": f"SELECT stop_id, terminal_id FROM ({_NEAR})", "p3_near": _NEAR, "p3_regions": _REGIONS}
