@@ -13,6 +13,7 @@ from ..operators.timestamps import normalise
 from ..operators.tracks import GAP_US, implausible_readings, stops_and_trips
 from ..shared import new_path
 from ..sources.tables import table
+from . import data_sql
 
 
 def _arrivals(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -120,4 +121,4 @@ p AS (SELECT DISTINCT stop_id, latitude AS y, longitude AS x FROM stops_data WHE
 c AS (SELECT stop_id, y, x, region, count(*) AS k FROM p JOIN e ON n >= 3 AND (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY ALL)
 SELECT DISTINCT stop_id, region FROM c WHERE k % 2 = 1"""
 
-ORACLE = {"p3_found": f"SELECT stop_id, terminal_id FROM ({_NEAR})", "p3_near": _NEAR, "p3_regions": _REGIONS}
+ORACLE = data_sql.ORACLE | {"p3_found": f"SELECT stop_id, terminal_id FROM ({_NEAR})", "p3_near": _NEAR, "p3_regions": _REGIONS}
