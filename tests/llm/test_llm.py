@@ -5,8 +5,8 @@ import pytest
 import tiktoken
 
 from tripwright.llm.encoding import PIECE, _SAFE, decode, decoded, encode, encoded, encoder, pieces
-from tripwright.llm.lookalike import ALIKE, Model, alike_pairs, learn, pair_counts, prepared, unified, visible
-from tripwright.llm.mixing import filled, mix, permuted
+from tripwright.llm.lookalike import ALIKE, Model, alike_classes, alike_pairs, learn, pair_counts, prepared, unified, visible
+from tripwright.llm.mixing import drawn, filled, mix, permuted, shard_counts
 
 NAME = "byte_bpe_50k"
 DOCS = "doc_id bigint, source string, text string, extra string"
@@ -61,6 +61,19 @@ def test_permutations():
     assert (permuted(np.arange(100), 100, 1) != permuted(np.arange(100), 100, 2)).any()
 
 
+def test_shards_draw_to_the_quotas():
+    quota = np.array([700, 250, 50, 0, 24])
+    for seed in (0, 1):
+        every = [shard_counts(quota, i, 16, seed, 64) for i in range(16)]
+        assert (sum(n for n, _ in every) == quota).all() and all(n.sum() == 64 for n, _ in every)
+        assert all((b == sum((n for n, _ in every[:i]), np.zeros(5, np.int64))).all() for i, (_, b) in enumerate(every))
+    # the last shards are drawn like the others
+    runs = np.array([[shard_counts(quota, i, 16, seed, 64)[0] for i in range(16)] for seed in range(200)], float)
+    assert np.abs(runs.mean(axis=0) - 64 * quota / 1024).max() < 1.5 and np.ptp(runs.std(axis=0)[:, 0]) < 1.2
+    big = drawn(np.array([6 * 10**11, 3 * 10**11, 10]), 5 * 10**11, np.random.default_rng(0))
+    assert big.sum() == 5 * 10**11 and abs(big[0] / big.sum() - 2 / 3) < 1e-4
+
+
 def test_filling_to_caps():
     assert filled(np.array([0.5, 0.5, 0.0]), np.array([100.0, 10.0, 50.0]), 80.0).tolist() == [70.0, 10.0, 0.0]
     assert filled(np.array([0.5, 0.5]), np.array([10.0, 10.0]), 80.0).tolist() == [10.0, 10.0]
@@ -144,5 +157,8 @@ def test_the_path_keeps_to_one_script():
 
 def test_hot_look_with_one_variant(spark):
     docs = spark.range(400).selectExpr("id as doc_id", "case when id = 7 then 'cοpies' else 'copies' end as text")
-    pairs = alike_pairs(unified(docs, "doc_id", "text", learn(docs, "text")), "doc_id")
+    forms = unified(docs, "doc_id", "text", learn(docs, "text"))
+    pairs = alike_pairs(forms, "doc_id")
+    classes = alike_classes(forms, "doc_id").collect()
+    assert len(classes) == 400 and {(r["class"], r.text, r.n_rows, r.n_texts) for r in classes} == {(0, 0, 400, 2), (0, 7, 400, 2)}
     assert pairs.count() == 399 and pairs.where("doc_id_a < doc_id_b").count() == 399

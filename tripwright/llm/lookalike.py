@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,7 +66,13 @@ _IGNORED = regex.compile(
     r"|\u200d(?![\p{L}\p{M}\p{Extended_Pictographic}])"
     r"|(?<!\p{Extended_Pictographic})[\ufe00-\ufe0f]"
 )
-_WORD = regex.compile(r"[\p{Latin}\p{Greek}\p{Cyrillic}\p{Mn}]+")
+# characters that _IGNORED or _WIDTHS may touch: most texts have none
+_MAY_GO = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\ufff9-\ufffb]")
+_MAY_CHANGE = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(_WIDTHS)) + "]")
+# The blocks of letters (Latin, marks, Greek, Cyrillic) of which words consist, as one class for both engines.
+_LETTERS = "A-Za-z\u00aa\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u1d00-\u1dbf\u1e00-\u1eff\u0300-\u036f\u0370-\u03ff\u1f00-\u1fff\u0400-\u052f"
+_WORD = re.compile(f"[{_LETTERS}]+")
+_BETWEEN = f"[^{_LETTERS}]+"
 _VISIBLE = regex.compile(r"[^\s\p{C}\p{Z}\p{Mn}\u115f\u1160\u3164\uffa0\u2800]")
 
 
@@ -71,7 +80,19 @@ def prepared(text: str) -> str:
     """Compatibility forms unified, ignorable characters deleted, accents apart (NFD)."""
     if text.isascii():
         return text
-    return unicodedata.normalize("NFD", _IGNORED.sub("", text.translate(_WIDTHS)))
+    if _MAY_CHANGE.search(text):
+        text = _MAY_CHANGE.sub(lambda m: _WIDTHS[ord(m[0])], text)
+    if _MAY_GO.search(text):
+        text = _IGNORED.sub("", text)
+    return unicodedata.normalize("NFD", text)
+
+
+def words_of(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+    """Words of prepared texts one after another, and where those of each text begin; without blank ones."""
+    lists = pc.split_pattern_regex(pa.array(texts, pa.large_string()), _BETWEEN)
+    flat, offsets = lists.values, lists.offsets.to_numpy()
+    full = np.asarray(pc.not_equal(flat, ""))
+    return flat.filter(pa.array(full)), np.r_[0, np.cumsum(full)][offsets]
 
 
 def visible(text: str) -> bool:
@@ -147,7 +168,23 @@ class Model:
 
     def text(self, text: str) -> str:
         """``text`` in the one form of all texts that look like it."""
-        return unicodedata.normalize("NFC", _WORD.sub(lambda m: self.word(m[0]), prepared(text)))
+        return self.texts([text])[0]
+
+    def texts(self, texts: list[str | None]) -> list[str | None]:
+        """The one form of each of ``texts``. Each distinct word is searched once; texts none of whose words change keep them."""
+        ready = [None if t is None else prepared(t) for t in texts]
+        flat, first = words_of(ready)
+        codes = flat.dictionary_encode()
+        names = codes.dictionary.to_pylist()
+        changed = np.array([self.word(w) != unicodedata.normalize("NFC", w) for w in names], dtype=bool)
+        touched = np.r_[0, np.cumsum(changed[np.asarray(codes.indices)])] if len(flat) else np.zeros(1, np.int64)
+        touched = touched[first[1:]] > touched[first[:-1]]
+        out = [t if t is None or not hit else _WORD.sub(lambda m: self.word(m[0]), t) for t, hit in zip(ready, touched)]
+        return [t if t is None or t.isascii() else unicodedata.normalize("NFC", t) for t in out]
+
+
+#: Distinct words counted in a task before their letter pairs are handed on.
+COUNTED = 500_000
 
 
 def learn(docs: DataFrame, text: str) -> Model:
@@ -158,18 +195,26 @@ def learn(docs: DataFrame, text: str) -> Model:
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words: Counter = Counter()
-            for t in _texts(b.column(0)):
-                if t:
-                    words.update(_WORD.findall(prepared(t)))
-            pairs: Counter = Counter()
+        words: Counter = Counter()
+
+        def pairs() -> pa.RecordBatch:
+            found: Counter = Counter()
             for w, n in words.items():
                 own: Counter = Counter()
                 pair_counts(w, own)
                 for k, m in own.items():
-                    pairs[k] += n * m
-            yield pa.RecordBatch.from_pydict({"pair": pa.array(list(pairs), pa.string()), "n": pa.array(list(pairs.values()), pa.int64())})
+                    found[k] += n * m
+            words.clear()
+            return pa.RecordBatch.from_pydict({"pair": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
+
+        for b in batches:
+            flat, _ = words_of([t and prepared(t) for t in _texts(b.column(0))])
+            seen = flat.value_counts()
+            for w, n in zip(seen.field(0).to_pylist(), seen.field(1).to_pylist()):
+                words[w] += n
+            if len(words) > COUNTED:
+                yield pairs()
+        yield pairs()
 
     counts = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(kernel, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
     return Model({r.pair: r.n for r in counts.collect()})
@@ -190,24 +235,45 @@ def unified(docs: DataFrame, key: str, text: str, model: Model) -> DataFrame:
         digest = lambda s: hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
         for b in batches:
             texts = _texts(b.column("text"))
-            forms = [None if t is None else m.text(t) for t in texts]
+            forms = m.texts(texts)
             seen = [f is not None and visible(f) for f in forms]
-            look = [digest(f) if s else None for f, s in zip(forms, seen)]
             raw = [digest(t) if s else None for t, s in zip(texts, seen)]
+            look = [None if not s else r if f == t else digest(f) for f, t, r, s in zip(forms, texts, raw, seen)]
             yield pa.RecordBatch.from_pydict({key: b.column("key"), "unified": pa.array(forms, pa.string()), "look": pa.array(look, pa.string()), "raw": pa.array(raw, pa.string())})
 
     return rows.mapInArrow(kernel, f"`{key}` {kind}, unified string, look string, raw string")
 
 
-def alike_pairs(forms: DataFrame, key: str) -> DataFrame:
-    """(key_a, key_b), smaller first: rows of ``forms`` with one look and different texts.
+def _several(forms: DataFrame, key: str) -> DataFrame:
+    """(k, look, raw) of the rows of ``forms`` whose look has several texts.
 
-    Looks with one text only fall out first, by an aggregate that shrinks where the rows lie; texts of a look
-    are paired as texts, and each pair of texts with its rows: the work follows the rows that come out.
+    Looks with one text only fall out first, by an aggregate that shrinks where the rows lie.
     """
     f = forms.where("look is not null").select(F.col(key).alias("k"), "look", "raw")
     several = f.groupBy("look").agg(F.min("raw").alias("a"), F.max("raw").alias("b")).where("a <> b").select("look")
-    own = f.join(several, "look", "left_semi")
+    return f.join(several, "look", "left_semi")
+
+
+def alike_classes(forms: DataFrame, key: str) -> DataFrame:
+    """(key, class, text, n_rows, n_texts): rows of ``forms`` that look like others written differently.
+
+    class and text are the smallest keys of the look and of the very text; the counts are those of the class. As many
+    rows come out as go in at most, however many copies a look has.
+    """
+    own = _several(forms, key)
+    texts = own.groupBy("look", "raw").agg(F.min("k").alias("text"), F.count("*").alias("n"))
+    looks = texts.groupBy("look").agg(F.min("text").alias("class"), F.sum("n").alias("n_rows"), F.count("*").alias("n_texts"))
+    out = own.join(texts.select("look", "raw", "text"), ["look", "raw"]).join(looks, "look")
+    return out.select(F.col("k").alias(key), "class", "text", "n_rows", "n_texts")
+
+
+def alike_pairs(forms: DataFrame, key: str) -> DataFrame:
+    """(key_a, key_b), smaller first: rows of ``forms`` with one look and different texts.
+
+    Texts of a look are paired as texts, and each pair of texts with its rows: the work follows the rows that come out.
+    Where a look has many copies ``alike_classes`` says the same in one row each.
+    """
+    own = _several(forms, key)
     texts = own.select("look", "raw").distinct()
     other = texts.select("look", F.col("raw").alias("raw_b"))
     pairs = texts.join(other, "look").where("raw < raw_b").select(F.col("raw").alias("raw_a"), "raw_b")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import pings as P
 from .encoding import encoded
-from .lookalike import alike_pairs, learn, unified
+from .lookalike import alike_classes, alike_pairs, learn, unified
 from .mixing import Mixture, mix
 from .runs import runs
 from ..shared import stage
@@ -64,10 +64,15 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return alike_pairs(stage(_forms(spark, d).select("doc_id", "look", "raw"), "looks"), "doc_id")
 
 
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that look like others written differently, by class."""
+    return alike_classes(stage(_forms(spark, d).select("doc_id", "look", "raw"), "looks"), "doc_id")
+
+
 def p10_unified(spark: SparkSession, d: str) -> DataFrame:
     """The one form of every document's text."""
     return _forms(spark, d).select("doc_id", "unified")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_runs, p4_near, p8_ids, p9_mixture, p9_shares, p10_found, p10_unified)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_runs, p4_near, p8_ids, p9_mixture, p9_shares, p10_found, p10_classes, p10_unified)}
 ORACLE: dict[str, str] = {}
