@@ -75,7 +75,8 @@ trips AS (SELECT *, CAST(row_number() OVER (ORDER BY vehicle_id, start_us) AS IN
   CAST(NULL AS VARCHAR) AS provided_trip_id FROM segs WHERE n >= 2 AND runs >= 2)"""
 
 _TRIP = f"SELECT trip_id, vehicle_id, {_calendar('start_us')}, start_terminal, end_terminal, direction, start_us, end_us, provided_trip_id, round((end_us - start_us) / 60000000.0, 9) AS duration_in_mins FROM trips"
-_PATH = "path AS (SELECT p.*, x.trip_id, x.direction FROM pings p LEFT JOIN trips x ON p.vehicle_id = x.vehicle_id AND p.t BETWEEN x.start_us AND x.end_us)"
+_PATH = """path AS (SELECT p.*, CASE WHEN p.t <= x.end_us THEN x.trip_id END AS trip_id, CASE WHEN p.t <= x.end_us THEN x.direction END AS direction
+  FROM pings p ASOF LEFT JOIN trips x ON p.vehicle_id = x.vehicle_id AND p.t >= x.start_us)"""
 
 _DEBOUNCE = """c1 AS (SELECT *, CASE WHEN dir_noisy = lag(dir_noisy) OVER (PARTITION BY vehicle_id ORDER BY t) THEN 0 ELSE 1 END AS ch FROM pings),
 c2 AS (SELECT *, sum(ch) OVER (PARTITION BY vehicle_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS rn FROM c1),
