@@ -78,6 +78,17 @@ def test_spikes_are_left_as_they_were_reached():
     assert off_path(t, x, y, 10.0) == []
 
 
+def test_a_stretch_that_has_become_reachable_is_in_doubt():
+    # 1,100 m off for three rows of 15 s at a usual 8 m/s: in the third it could have gone there
+    t = np.arange(30.0) * 15
+    x = np.r_[np.zeros(12), np.full(3, 1100.0), np.zeros(15)]
+    assert off_path(t, x, np.zeros(30), 8.0) == [12, 13, 14]
+    x = np.r_[np.zeros(12), np.full(18, 1100.0)]  # a new place, and a spike there long after
+    assert off_path(t, x, np.zeros(30), 8.0) == []
+    x[28] = 0.0
+    assert off_path(t, x, np.zeros(30), 8.0) == [28]
+
+
 def test_implausible_values_and_stuck_channels():
     n = 40
     t = np.arange(n) * 10 * S

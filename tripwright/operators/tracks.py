@@ -24,6 +24,8 @@ from .sessions import sessions
 
 #: A reading is implausible beyond so many times the usual moving speed.
 TIMES = 3.0
+#: A stretch off the path is the new place of a device that could have gone there so many times over.
+DOUBT = 4.0
 #: Standard deviation of a position reading, metres.
 NOISE_M = 10.0
 #: Rows with the very same reading that make a channel stuck.
@@ -96,7 +98,8 @@ def off_path(t: np.ndarray, x: np.ndarray, y: np.ndarray, usual: float) -> list[
     """Rows off the path: the filter's innovation is beyond TIMES when they come and when they are left.
 
     t in seconds, rising; x, y in metres. A stretch that is reached by a jump but left at leave, or
-    never left, is the device's new place: the filter starts again there and flags nothing.
+    never left, is the device's new place: the filter starts again there and flags nothing. It is in doubt until the device
+    could have gone its distance from the path DOUBT times over: within that time a jump back still settles it.
     """
     limit, noise = TIMES * TIMES, NOISE_M * NOISE_M
     ts, xs, ys = t.tolist(), x.tolist(), y.tolist()
@@ -124,6 +127,9 @@ def off_path(t: np.ndarray, x: np.ndarray, y: np.ndarray, usual: float) -> list[
             if lx * lx + ly * ly > limit * (q2 * q2 + 2 * noise):
                 flagged.extend(range(away, i))
                 away = -1
+            elif i + 1 < n and DOUBT * DOUBT * (dx * dx + dy * dy) > limit * s:
+                i += 1
+                continue
             else:
                 i = away
                 px, py, pt, var, away = xs[i], ys[i], ts[i], noise, -1
