@@ -33,3 +33,19 @@ def test_times_without_zone_are_utc(spark, tmp_path):
         assert table(spark, str(tmp_path), "events").selectExpr("unix_micros(ts) as t").first().t == 1_704_067_200_000_000
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_shared_folder_and_scratch(spark, monkeypatch):
+    import os
+    from types import SimpleNamespace
+
+    from tripwright import shared
+
+    with shared.scratch(spark):
+        df = shared.stage(spark.range(3), "x")
+        folder = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+        assert df.count() == 3 and os.path.exists(folder)
+    assert not os.path.exists(folder)
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="a"))
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        shared.shared_folder(cluster)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.sequence import part_sums, ranged
+
 
 def _clean(matched: DataFrame, end_to_end: bool) -> DataFrame:
     if "clean" not in matched.columns:
@@ -51,16 +53,17 @@ def orientation_scores(matched: DataFrame, n_truth_total: int, min_coverage: flo
 def risk_coverage(matched: DataFrame, tie: str, end_to_end: bool = True) -> DataFrame:
     """(rank, coverage, selective_error) with falling confidence; unknown confidence last, ties by ``tie``.
 
-    Ranks run within 1,000 bins of confidence, bins within their table, so no task holds the whole.
+    Rows are ranged by confidence and tie, ranks run within parts behind those of the parts before: however many rows
+    share a confidence, or have none, no task holds the whole.
     """
     n = _clean(matched, end_to_end).agg(F.count("*").alias("n_clean"))
     m = mapped(matched, end_to_end).withColumn("wrong", (F.col("pred_mapped") != F.col("truth_direction")).cast("bigint"))
-    m = m.withColumn("bin", F.coalesce(F.floor((1 - F.col("pred_confidence")) * 1000), F.lit(1_000_000)))
-    bins = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    base = m.groupBy("bin").agg(F.count("*").alias("n"), F.sum("wrong").alias("w"))
-    base = base.select("bin", F.coalesce(F.sum("n").over(bins), F.lit(0)).alias("n0"), F.coalesce(F.sum("w").over(bins), F.lit(0)).alias("w0"))
-    inside = Window.partitionBy("bin").orderBy(F.desc_nulls_last("pred_confidence"), tie)
-    m = m.withColumns({"k": F.row_number().over(inside), "e": F.sum("wrong").over(inside.rowsBetween(Window.unboundedPreceding, 0))}).join(base, "bin")
+    order = (F.desc_nulls_last("pred_confidence"), F.col(tie))
+    parts = ranged(m.select("pred_confidence", tie, "wrong"), *order)
+    base = part_sums(parts, n0=F.count("*"), w0=F.coalesce(F.sum("wrong"), F.lit(0)))
+    inside = Window.partitionBy("_part").orderBy(*order)
+    # as many rows as parts
+    m = parts.withColumns({"k": F.row_number().over(inside), "e": F.sum("wrong").over(inside.rowsBetween(Window.unboundedPreceding, 0))}).join(F.broadcast(base), "_part")
     rank = F.col("n0") + F.col("k")
     return m.join(n, how="inner").select(rank.alias("rank"), (rank / F.col("n_clean")).alias("coverage"), ((F.col("w0") + F.col("e")) / rank).alias("selective_error"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from .cleaning import RESERVED, local_text
 from .matching import radius_match
 from .sequence import KEY, in_order, numbered, up_to, with_runs
 
-#: Columns of the trip table, in order; label columns stay empty until a detector fills them.
+# Columns of the trip table and of the stop table, in order; label columns stay empty until a detector fills them.
 TRIP_COLUMNS = [
     "trip_id", "vehicle_id", "date", "start_terminal", "end_terminal", "direction", "start_time", "end_time", "provided_trip_id",
     "duration_in_mins", "day_of_week", "hour_of_day", "is_weekday", "orientation_id", "orientation_status", "orientation_confidence",
@@ -99,6 +101,8 @@ def stop_visits(
     leave = F.when(F.col("z1").isNull(), F.col("a")).when(F.col("b") - F.col("z2") > grace, F.col("z2") + grace).otherwise(F.col("b"))
     v = v.withColumn("departure_us", leave).withColumn("dwell_time_in_seconds", (F.col("departure_us") - F.col("arrival_us")) / 1_000_000.0)
     if min_dwell > 0:
+        if matched.where("speed is not null").isEmpty():
+            warnings.warn("no ping at a stop has a speed: every dwell is zero, and min_dwell leaves no visit", stacklevel=2)
         v = v.where(F.col("dwell_time_in_seconds") >= min_dwell)
     v = v.withColumns({"arrival_time": F.timestamp_micros("arrival_us"), "departure_time": F.timestamp_micros("departure_us")})
     return calendar(v, "arrival_us", tz).drop("z1", "z2", "a", "b", "_g")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..shared import stage
 from .sessions import session_of, sessions
 
 KEY = ("vehicle_id", "_s")
@@ -113,3 +114,26 @@ def numbered(trips: DataFrame, name: str = "trip_id") -> DataFrame:
     base = per.select("vehicle_id", F.coalesce(before, F.lit(0)).alias("_base"))
     own = F.row_number().over(Window.partitionBy("vehicle_id").orderBy("start_us"))
     return trips.join(base, "vehicle_id").withColumn(name, (F.col("_base") + own).cast("int")).drop("_base")
+
+
+def ranged(df: DataFrame, *order: Column | str) -> DataFrame:
+    """``df``, written once, with _part: rows of a lower part come before those of a higher one in ``order``.
+
+    With an order that tells rows apart no value, however frequent, makes one part large.
+    """
+    return stage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
+
+
+def part_sums(parts: DataFrame, **sums: Column) -> DataFrame:
+    """(_part, *sums): totals over the parts before each; a row a part, as many as a shuffle has partitions."""
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy("_part").agg(*[v.alias(k) for k, v in sums.items()])
+    return totals.select("_part", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(k) for k in sums])
+
+
+def row_numbers(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """``df`` with ``name``: 1..N over the whole table in ``order``, numbered within parts behind the rows of the parts before."""
+    parts = ranged(df, *order)
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    base = part_sums(parts, _base=F.count("*"))
+    return parts.join(F.broadcast(base), "_part").withColumn(name, (F.col("_base") + own).cast("bigint")).drop("_part", "_base")

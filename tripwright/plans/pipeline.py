@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import segmentation as S
-from ..operators.cleaning import blank, clean_pings, id_text
+from ..operators.cleaning import blank, clean_pings, id_text, with_ids
 from ..operators.diagnostics import diagnostics, warn_of_losses
 from ..operators.features import level, stop_times, stop_visits, trajectory, trip_features
 from ..operators.sequence import debounced, in_order, keyed, up_to
@@ -128,11 +128,13 @@ def _distinct(df: DataFrame, column: str) -> list[str]:
 def cut_trips(spark: SparkSession, pings: DataFrame | str, terminals: DataFrame | str | None, o: Options, stop_labels: list[str] | None = None) -> Cut:
     """Clean, segment and describe trips, as both extractions do."""
     mode = o.mode(terminals is not None)
-    cleaned = clean_pings(read(spark, pings), vehicle_col=o.vehicle_col, time_col=o.time_col, tz=o.tz, projected=o.projected, order_col=o.order_col, default_vehicle="veh_1" if o.trip_col else None, validate=o.validate)
+    cleaned = clean_pings(read(spark, pings), vehicle_col=o.vehicle_col, time_col=o.time_col, tz=o.tz, projected=o.projected, order_col=o.order_col, default_vehicle="veh_1" if o.trip_col else None, validate=o.validate, ids=False)
     places = _places(spark, terminals, "terminal_id") if terminals is not None else None
     ids = terminal_ids(places) if places is not None else []
     gap = _us(o.session_gap)
     rows = stage(keyed(cleaned.pings, gap), "keyed")  # cutting, trajectories and counts all read it
+    counts = cleaned.counted(rows)
+    rows = with_ids(rows)
     levels: list[str] | None = None
     first: Column
     if mode == "identity":
@@ -160,7 +162,7 @@ def cut_trips(spark: SparkSession, pings: DataFrame | str, terminals: DataFrame
     if levels is None and len(ids) != 2:
         raise ValueError("direction by start terminal needs exactly two terminals; pass direction_col, or cut at layovers")
     table = trip_features(trips, first, o.tz or "UTC")
-    return Cut(rows, cleaned.counts, table, drops, levels, ids, mode, cleaned.projected)
+    return Cut(rows, counts, table, drops, levels, ids, mode, cleaned.projected)
 
 
 def with_direction(trips: DataFrame, rows: DataFrame, columns: list[str], value: str, gap_us: int) -> DataFrame:

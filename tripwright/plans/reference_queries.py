@@ -33,7 +33,7 @@ def _shape(trips: DataFrame) -> DataFrame:
 
 
 def _cut(spark: SparkSession, d: str, layover: bool = False, **options: object) -> Cut:
-    o = Options(**({"session_gap": GAP_S, "validate": False} | options))
+    o = Options(**({"session_gap": GAP_S} | options))
     return cut_trips(spark, E.pings(spark, d, layover), E.terminals(spark), o)
 
 
@@ -50,17 +50,17 @@ def _layover(spark: SparkSession, d: str) -> Cut:
 
 
 def _keyed(spark: SparkSession, d: str) -> DataFrame:
-    return keyed(clean_pings(E.pings(spark, d), validate=False).pings, GAP)
+    return keyed(clean_pings(E.pings(spark, d)).pings, GAP)
 
 
 def clean_pings_query(spark: SparkSession, d: str) -> DataFrame:
     """Zero coordinates, blank vehicles and repeats dropped; date and clock texts."""
-    return clean_pings(E.dirty_pings(spark, d), validate=False).pings.select("id", "vehicle_id", "t", "latitude", "speed", "date", "time_str")
+    return clean_pings(E.dirty_pings(spark, d)).pings.select("id", "vehicle_id", "t", "latitude", "speed", "date", "time_str")
 
 
 def session_ids(spark: SparkSession, d: str) -> DataFrame:
     """Session numbers by silences over three days."""
-    return number_sessions(clean_pings(E.pings(spark, d), validate=False).pings, GAP).select("id", "vehicle_id", "session_id")
+    return number_sessions(clean_pings(E.pings(spark, d)).pings, GAP).select("id", "vehicle_id", "session_id")
 
 
 def run_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -94,7 +94,7 @@ def trips_by_terminals_tight(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _dwells(spark: SparkSession, d: str) -> DataFrame:
-    return keyed(clean_pings(E.pings(spark, d, True), validate=False).pings, LAYOVER["session_gap"] * 1_000_000)
+    return keyed(clean_pings(E.pings(spark, d, True)).pings, LAYOVER["session_gap"] * 1_000_000)
 
 
 def dwell_runs(spark: SparkSession, d: str) -> DataFrame:

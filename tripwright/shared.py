@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,10 +14,15 @@ _SET_HERE: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests) a local one."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset a local one, on one machine only.
+
+    On a cluster every executor would write to a disk of its own, so there it raises RuntimeError.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _SET_HERE:
         _SET_HERE[app] = "file://" + tempfile.mkdtemp(prefix="tripwright-")
@@ -30,13 +37,30 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_SCRATCH: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
+    """A fresh path in the shared folder, removed at the end of the ``scratch`` that it was made in, else of the driver."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    else:
+        atexit.register(_remove, spark, path)
     return path
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are removed at the end: for applications that run on, once their results are written."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            _remove(spark, path)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
