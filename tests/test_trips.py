@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tripwright.operators import builders
 from tripwright.operators.cleaning import clean_pings
 from tripwright.operators.dwell import anchored
-from tripwright.operators.features import STOP_COLUMNS, TRIP_COLUMNS
+from tripwright.operators.features import STOP_COLUMNS, TRIP_COLUMNS, stop_visits
 from tripwright.operators.matching import line_distance, nearest, radius_match
 from tripwright.operators.proximity import _distance
 from tripwright.operators.sequence import KEY, debounced, in_order, keyed, paired
@@ -136,6 +136,29 @@ def test_cleaning(spark):
     assert text.t == int(BASE.timestamp()) * 1_000_000
 
 
+def test_ids_are_numbered_anew_if_one_is_amiss(spark):
+    df = spark.createDataFrame([(i, "v", at(k), 1.0, 1.0, 1.0, k) for k, i in enumerate([1, 1, None])], "id bigint, vehicle_id string, timestamp timestamp, latitude double, longitude double, speed double, n int")
+    assert sorted((r.n, r.id) for r in clean_pings(df, order_col="n").pings.collect()) == [(0, 1), (1, 2), (2, 3)]
+    good = df.withColumn("id", F.col("n") * 10)
+    assert sorted(r.id for r in clean_pings(good).pings.collect()) == [0, 10, 20]
+    assert sorted(r.id for r in clean_pings(df.drop("id")).pings.collect()) == [1, 2, 3]
+
+
+def test_no_vehicle_and_no_speed_at_all(spark):
+    df = spark.createDataFrame([(i, None, at(i), 1.0, 1.0, None) for i in range(3)], "id bigint, vehicle_id string, timestamp timestamp, latitude double, longitude double, speed double")
+    with pytest.warns(UserWarning, match="every speed"):
+        out = clean_pings(df, default_vehicle="veh_1")
+    assert [r.vehicle_id for r in out.pings.collect()] == ["veh_1"] * 3 and out.counts.first().pings_dropped_missing_vehicle == 0
+    assert clean_pings(df.withColumn("speed", F.lit(1.0))).pings.count() == 0
+
+
+def test_min_dwell_without_speeds_warns(spark):
+    path = spark.createDataFrame([("v", 0, 0, 0, 1, 1, 50.0, 9.0, None)], "vehicle_id string, _s bigint, t bigint, _ord bigint, trip_id int, direction int, latitude double, longitude double, speed double")
+    stops = spark.createDataFrame([("S", 1, 50.0, 9.0, 1)], "stop_id string, direction int, latitude double, longitude double, ord int")
+    with pytest.warns(UserWarning, match="min_dwell"):
+        assert stop_visits(path, stops, 50.0, min_dwell=1.0).count() == 0
+
+
 def test_first_target_not_nearest_and_both_forms(spark, monkeypatch):
     from tripwright.operators import matching
 
@@ -161,6 +184,29 @@ def test_zero_coordinates_match_in_both_forms(spark, monkeypatch):
         assert got == {1: "e", 2: "m", 3: "z", 4: "e", 5: None, 6: None, 7: "d"}
 
 
+@pytest.mark.parametrize("reach", [30.0, 40_000.0, 3_000_000.0])
+def test_grid_cells_against_brute_force(spark, monkeypatch, reach):
+    from tripwright.operators import matching
+
+    rng = np.random.default_rng(11)
+
+    def spots(n):
+        near = rng.uniform(-1, 1, (2, n)) * np.degrees(reach / 6_371_000.0)
+        lat = np.r_[rng.uniform(-90, 90, n), np.clip(89.99 + near[0], -90, 90), near[0], 50 + near[0]]
+        lon = np.r_[rng.uniform(-180, 180, n), rng.uniform(-180, 180, n), (179.9999 + near[1] + 180) % 360 - 180, 9 + near[1]]
+        return lat, lon
+
+    (a, b), (x, y) = spots(25), spots(40)
+    where = "latitude double, longitude double"
+    targets = spark.createDataFrame([(f"t{i}", float(p), float(q), i) for i, (p, q) in enumerate(zip(a, b))], f"t string, {where}, ord int")
+    pings = spark.createDataFrame([(i, float(p), float(q)) for i, (p, q) in enumerate(zip(x, y))], f"id int, {where}")
+    ok = (_distance(x[:, None], y[:, None], a[None], b[None]) <= reach) & (np.abs(x[:, None] - a[None]) <= reach / 111_194.0)
+    want = {i: f"t{np.flatnonzero(k).min()}" if k.any() else None for i, k in enumerate(ok)}
+    for entries in (500_000, 0):  # the table of cells broadcast, and joined by its keys
+        monkeypatch.setattr(matching, "BROADCAST_CELLS", entries)
+        assert {r.id: r.m for r in radius_match(pings, targets, "t", reach, name="m").collect()} == want
+
+
 @pytest.mark.parametrize("projected", [False, True])
 def test_more_targets_than_an_array_holds(spark, projected):
     """1,200 targets against brute force: the nearest at any distance, and the first within a radius."""

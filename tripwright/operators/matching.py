@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,34 +11,88 @@ from ..functions.geo import EARTH_M, haversine_m, planar_m
 from ..shared import stage
 from .proximity import near, nearest_pairs
 
-#: Targets up to this many are held in an array literal beside each ping; more go through the spatial join.
+#: Targets that one array beside a row holds at most: those of a grid cell, or all of them for the nearest. Where there are
+#: more, rows and targets meet in the spatial join, which gives the same.
 ARRAY_TARGETS = 1000
+#: Entries of the table of grid cells up to which, as counted, it is broadcast; a larger one is joined by its keys.
+BROADCAST_CELLS = 500_000
 
 
 def _distance(projected: bool, a: Column, b: Column, c: Column, d: Column) -> Column:
     return planar_m(a, b, c, d) if projected else haversine_m(a, b, c, d)
 
 
+def _columns_of(band: Column, height: float) -> Column:
+    """Number of cells around the sphere in a band of latitude, each at least as wide as the band is high."""
+    top = F.least(F.lit(90.0), F.greatest(F.abs(band * height), F.abs((band + 1) * height)))
+    return F.greatest(F.lit(1), F.floor(F.cos(F.radians(top)) * 360.0 / height)).cast("bigint")
+
+
+def _cell(reach: float, projected: bool) -> tuple[Column, Column]:
+    """Band and cell of a point; null without finite coordinates."""
+    lat, lon = F.col("latitude").cast("double"), F.col("longitude").cast("double")
+    finite = lambda c, e: F.when(c & (F.abs(lat) < float("inf")) & (F.abs(lon) < float("inf")), e)
+    known = lat.isNotNull() & lon.isNotNull()
+    height = _height(reach, projected)
+    band = finite(known, F.floor(lat / height))
+    if projected:
+        return band, finite(known, F.floor(lon / height))
+    n = _columns_of(band, height)
+    return band, finite(known, F.least(n - 1, F.floor(F.pmod(lon + 180.0, F.lit(360.0)) / 360.0 * n)))
+
+
+def _height(reach: float, projected: bool) -> float:
+    return reach * 1.0001 + 1e-9 if projected else min(reach / 111_194.0 * 1.0001 + 1e-9, 180.0)
+
+
+def _cells_reached(targets: DataFrame, reach: float, projected: bool) -> DataFrame:
+    """``targets`` (latitude, longitude) once for each cell in which a point within ``reach`` can lie."""
+    height = _height(reach, projected)
+    lat, lon = F.col("latitude"), F.col("longitude")
+    own = F.floor(lat / height)
+    rows = targets.withColumn("_band", F.explode(F.sequence(own - 1, own + 1)))
+    if projected:
+        at = F.floor(lon / height)
+        return rows.withColumn("_cell", F.explode(F.sequence(at - 1, at + 1)))
+    n = _columns_of(F.col("_band"), height)
+    pole = (F.abs(lat) + height >= 90.0) | (math.sin(min(reach / EARTH_M, math.pi / 2)) >= F.cos(F.radians(lat)))
+    width = F.when(pole, F.lit(180.0)).otherwise(F.degrees(F.asin(F.lit(math.sin(min(reach / EARTH_M, math.pi / 2))) / F.cos(F.radians(lat)))) * 1.000001 + 1e-9)
+    rows = rows.withColumns({"_n": n, "_w": width})
+    first = F.floor((lon - F.col("_w") + 180.0) / 360.0 * F.col("_n"))
+    last = F.least(F.floor((lon + F.col("_w") + 180.0) / 360.0 * F.col("_n")), first + F.col("_n") - 1)
+    return rows.withColumn("_cell", F.explode(F.sequence(first, last))).withColumn("_cell", F.pmod("_cell", "_n")).drop("_n", "_w")
+
+
 def radius_match(
     pings: DataFrame, targets: DataFrame, target_id: str, r1: float, r2: float = 0.0, by: str | None = None, name: str = "target_id", projected: bool = False
 ) -> DataFrame:
     """``pings`` with ``name``: the first target, in order of ``ord``, within r1; else the first within r2; else null.
 
     First, not nearest; a distance equal to the radius counts; r2 not above r1 has no effect. ``by``: a column of both
-    sides that must be equal. A null or NaN coordinate matches nothing. Up to ARRAY_TARGETS targets meet each ping as
-    one array per value of ``by``, without an exchange of the pings; for more, pings and targets meet in the spatial
-    join and the choice is made per ping.
+    sides that must be equal. A null or NaN coordinate matches nothing. Targets are listed by the grid cells that they
+    reach, of which a ping looks up its own: a ping is tested against the targets about it only, and isn't exchanged while the
+    table of cells is small enough to broadcast. Where a cell holds too many targets for a list, pings and
+    targets meet in the spatial join and the choice is made per ping.
     """
-    t = targets.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-    n = t.limit(ARRAY_TARGETS + 1).count()
-    keys = [F.col(by).alias("_by")] if by else [F.lit(1).alias("_by")]
-    own = F.col(by) if by else F.lit(1)
-    if n <= ARRAY_TARGETS:
-        entry = F.struct("ord", F.col(target_id).cast("string").alias("id"), F.col("latitude").cast("double").alias("a"), F.col("longitude").cast("double").alias("b"))
-        lists = t.select(*keys, entry.alias("e")).groupBy("_by").agg(F.sort_array(F.collect_list("e")).alias("_targets"))
-        # the array is bounded by ARRAY_TARGETS, counted above
-        rows = pings.withColumn("_own", own).join(F.broadcast(lists), F.col("_own") == F.col("_by"), "left").drop("_by", "_own")
-        reach = max(r1, r2)
+    finite = (F.abs("latitude") < float("inf")) & (F.abs("longitude") < float("inf"))
+    t = targets.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).where(finite)
+    reach = max(r1, r2)
+    first = F.min(F.struct("ord", F.col(target_id).cast("string").alias("id"))).alias("e")
+    where = [F.col("latitude").cast("double").alias("latitude"), F.col("longitude").cast("double").alias("longitude")]
+    groups = [F.col(by).alias("_by")] if by else []
+    # of targets at one place only the first can be chosen
+    cells = _cells_reached(t.groupBy(*groups, *where).agg(first), reach, projected)
+    keys = ["_by", "_band", "_cell"] if by else ["_band", "_cell"]
+    entries, most = cells.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if most <= ARRAY_TARGETS:
+        entry = F.struct(F.col("e.ord").alias("ord"), F.col("e.id").alias("id"), F.col("latitude").alias("a"), F.col("longitude").alias("b"))
+        # lists of at most ARRAY_TARGETS, counted above
+        lists = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_targets"))
+        lists = F.broadcast(lists) if entries <= BROADCAST_CELLS else lists
+        band, cell = _cell(reach, projected)
+        on = (F.col("_pb") == F.col("_band")) & (F.col("_pc") == F.col("_cell"))
+        rows = pings.withColumns({"_pb": band, "_pc": cell, "_own": F.col(by) if by else F.lit(1)})
+        rows = rows.join(lists, on & (F.col("_own") == F.col("_by")) if by else on, "left").drop(*keys, "_pb", "_pc", "_own")
         box = reach / 111_194.0 if not projected else reach
 
         def within(r: float) -> Column:
