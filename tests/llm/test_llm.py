@@ -32,6 +32,12 @@ def test_pieces_do_not_change_ids(tokenizer):
     assert PIECE > 1000 and _SAFE.search("ab") is None and isinstance(tokenizer, tiktoken.Encoding)
 
 
+def test_a_vocabulary_without_a_known_pattern_is_refused():
+    with pytest.raises(ValueError, match="pattern"):
+        encoder("other_bpe")
+    assert encode("日本語 x", encoder("byte_bpe_multi_50k")) != encode("日本語 x", encoder(NAME))
+
+
 def test_same_ids_as_the_other_library(tokenizer):
     tokenizers = pytest.importorskip("tokenizers")
     other = tokenizers.Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")

@@ -15,25 +15,33 @@ from pyspark.sql import functions as F
 
 #: Folder of the rank files; a parameter of every function here.
 FOLDER = "/opt/tokenizers"
-#: The pre-splitting pattern of the byte-level vocabularies, fixed by them.
+# Fixed value: the pre-splitting pattern of the byte-level vocabularies.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The pattern that each vocabulary is made for; ids under another one would be wrong.
+PATTERNS = {"byte_bpe_50k": PATTERN, "byte_bpe_multi_50k": PATTERN}
 #: Texts longer than this many characters are split at safe boundaries first.
 PIECE = 20_000
 
 _SAFE = regex.compile(r"(?<=\P{White_Space})(?=\p{White_Space})|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})")
-_LOADED: dict[str, tiktoken.Encoding] = {}
+_LOADED: dict[tuple[str, str], tiktoken.Encoding] = {}
 _LOCK = threading.Lock()
 
 
-def encoder(name: str, folder: str = FOLDER) -> tiktoken.Encoding:
-    """The encoding of ``folder/name.tiktoken``, read once per process."""
+def encoder(name: str, folder: str = FOLDER, pattern: str | None = None) -> tiktoken.Encoding:
+    """The encoding of ``folder/name.tiktoken``, read once per process.
+
+    pattern: the pre-splitting pattern of a vocabulary that PATTERNS doesn't name; without one such a vocabulary raises ValueError.
+    """
+    pattern = pattern or PATTERNS.get(name)
+    if pattern is None:
+        raise ValueError(f"no pre-splitting pattern is known for {name}; pass it")
     path = f"{folder}/{name}.tiktoken"
     with _LOCK:
-        if path not in _LOADED:
+        if (path, pattern) not in _LOADED:
             with open(path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-            _LOADED[path] = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return _LOADED[path]
+            _LOADED[path, pattern] = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return _LOADED[path, pattern]
 
 
 def pieces(text: str, size: int = PIECE) -> Iterator[str]:
@@ -57,7 +65,7 @@ def encode(text: str | None, tokenizer: tiktoken.Encoding) -> list[int]:
     """Ids of ``text`` without special tokens (their strings are ordinary text); none for an empty or null one."""
     if not text:
         return []
-    if len(text) <= PIECE:
+    if len(text) <= PIECE or tokenizer._pat_str != PATTERN:  # safe places are known for PATTERN
         return tokenizer.encode_ordinary(text)
     return [i for p in pieces(text) for i in tokenizer.encode_ordinary(p)]
 
