@@ -49,3 +49,27 @@ def test_shared_folder_and_scratch(spark, monkeypatch):
     cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="a"))
     with pytest.raises(RuntimeError, match="checkpoint.dir"):
         shared.shared_folder(cluster)
+
+
+def test_points_from_wkt(spark):
+    from tripwright.functions.geo import utm_system
+    from tripwright.sources.feed import points_from_wkt
+
+    rows = spark.createDataFrame([(1, "POINT (9.5 50.25)"), (2, " point Z (-1 2 3)"), (3, "LINESTRING (1 2, 3 4)"), (4, None), (5, "POINT EMPTY"), (6, "SRID=4326;POINT(3 4)")], "n int, geometry string")
+    out, projected = points_from_wkt(rows)
+    assert {r.n: (r.latitude, r.longitude) for r in out.collect()} == {1: (50.25, 9.5), 2: (2.0, -1.0), 3: (None, None), 4: (None, None), 5: (None, None), 6: (4.0, 3.0)}
+    assert not projected and "geometry" not in out.columns
+    plane = spark.createDataFrame([("SRID=32632;POINT (500000 5600000)",)], "geometry string")
+    assert points_from_wkt(plane)[1] and points_from_wkt(plane)[0].first().latitude == 5_600_000.0
+    with pytest.raises(ValueError, match="several"):
+        points_from_wkt(plane.union(rows.select("geometry")))
+    assert points_from_wkt(rows.limit(0))[0].count() == 0
+    assert (utm_system(50.0, 9.0), utm_system(-33.0, 151.0), utm_system(1.0, 180.0)) == (32632, 32756, 32660)
+
+
+def test_csv_with_a_schema(spark, tmp_path):
+    from tripwright.sources.tables import read
+
+    spark.createDataFrame([("007", 1.5)], "stop_id string, latitude double").write.csv(str(tmp_path / "x.csv"), header=True)
+    assert read(spark, str(tmp_path / "x.csv"), "stop_id string, latitude double").first().stop_id == "007"
+    assert read(spark, str(tmp_path / "x.csv")).first().stop_id == 7

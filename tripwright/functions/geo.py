@@ -19,3 +19,9 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
 def planar_m(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Euclidean distance of projected coordinates, in their unit."""
     return F.hypot(x2 - x1, y2 - y1)
+
+
+def utm_system(latitude: float, longitude: float) -> int:
+    """The EPSG number of the UTM zone of a place (such as the medians of all pings), north or south of the equator."""
+    zone = min(int((longitude + 180.0) // 6.0) + 1, 60)
+    return (32600 if latitude >= 0 else 32700) + zone

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..evaluation.anchors import anchor_detection, stop_association
+from ..evaluation.sufficiency import make_splits
 from ..operators import features
 from ..operators import pings as P
 from ..operators.cleaning import blank, clean_pings
@@ -17,6 +19,7 @@ from ..operators.shapes import shapes_from_trips
 from ..operators.timestamps import normalise
 from ..operators.tracks import valid_position
 from ..shared import stage
+from ..sources.feed import lines_from_wkt
 from ..sources.tables import table
 from . import events_pings as E
 from .gps_sql import ORACLE
@@ -152,10 +155,49 @@ def extraction_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     return out.diagnostics
 
 
+def stop_association_query(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest stop of every row of terminals, named if it is within 100 m."""
+    places = table(spark, d, "terminals_data").withColumn("anchor", F.col("ord"))
+    stops = table(spark, d, "stops_data").where("stop_id is not null")
+    return stop_association(places, stops).select("anchor", "stop_id", F.round("distance_m", 3).alias("distance_m"), "matched")
+
+
+def anchor_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Terminals as discovered anchors against stops as audited ones."""
+    at = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    found = table(spark, d, "terminals_data").where(at).select(F.col("ord").alias("anchor"), "latitude", "longitude", (F.col("ord") % 7).alias("recurrence"), F.lit(0.5).alias("coverage"))
+    truth = table(spark, d, "stops_data").where(at).select(F.col("ord").alias("anchor"), "latitude", "longitude")
+    score = anchor_detection(found, truth)
+    return spark.createDataFrame([(score.n_discovered_kept, score.n_truth, score.n_dropped_low_support, score.splits, score.merges)], "n_kept int, n_truth int, n_dropped int, splits int, merges int")
+
+
+def lines_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Vertices of the route lines, written as geometries and read again."""
+    v = table(spark, d, "route_lines").where("latitude is not null and longitude is not null and vertex_seq is not null and route_id is not null and direction is not null").distinct()
+    points = F.sort_array(F.collect_list(F.struct("vertex_seq", "latitude", "longitude")))
+    lines = v.groupBy("route_id", "direction").agg(points.alias("p"))
+    text = F.concat(F.lit("LINESTRING ("), F.array_join(F.transform("p", lambda x: F.concat_ws(" ", x["longitude"].cast("string"), x["latitude"].cast("string"))), ", "), F.lit(")"))
+    return lines_from_wkt(lines.select("route_id", "direction", text.alias("geometry"))).withColumn("vertex_seq", F.col("vertex_seq").cast("bigint"))
+
+
+def projected_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The first terminal within 250 m of a ping, in coordinates of a plane."""
+    plane = lambda df: df.withColumns({"latitude": F.col("latitude") * 111_195.0, "longitude": F.col("longitude") * 70_000.0})
+    return radius_match(plane(_pings(spark, d)), plane(_terminals(spark, d)), "terminal_id", TERMINAL_M, name="terminal_id", projected=True).select("id", "terminal_id")
+
+
+def evaluation_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Events of two groups parted into calibration, held-out and transfer data."""
+    e = table(spark, d, "events").select("event_id", F.concat(F.lit("a"), F.col("user_id") % 3).alias("agency"), (F.col("user_id") % 4).alias("period"))
+    parts = make_splits(e, "a0", "a1", "period", [0, 1])
+    named = [df.select(F.lit(n).alias("part")) for n, df in (("calibration", parts.calibration), ("heldout", parts.heldout), ("transfer", parts.transfer))]
+    return named[0].unionByName(named[1]).unionByName(named[2]).groupBy("part").agg(F.count("*").alias("n"))
+
+
 _ALL = (
     gps_clean, gps_sessions, gps_trips_by_identity, gps_trips_by_terminals, gps_trips_by_layover, gps_trajectory, gps_stop_matches, gps_stop_visits, gps_shapes, gps_diagnostics,
-    extraction_trips, extraction_stop_times, extraction_diagnostics,
+    extraction_trips, extraction_stop_times, extraction_diagnostics, anchor_scores, lines_round_trip, projected_matches, evaluation_splits,
 )
-QUERIES = {f.__name__: f for f in _ALL}
+QUERIES = {f.__name__: f for f in _ALL} | {"stop_association": stop_association_query}
 
 __all__ = ["ORACLE", "QUERIES"]

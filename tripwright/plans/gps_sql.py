@@ -87,4 +87,20 @@ ORACLE = {
     "extraction_trips": _q(*_CUT, select=f"SELECT trip_id, vehicle_id, {_calendar('start_us')}, start_terminal, end_terminal, direction, start_us AS start_time, end_us AS end_time, provided_trip_id, round((end_us - start_us) / 60000000.0, 9) AS duration_in_mins, {_LABELS}, CAST(NULL AS VARCHAR) AS start_anchor_ref, CAST(NULL AS VARCHAR) AS end_anchor_ref FROM trips"),
     "extraction_stop_times": _q(*_CUT, _PATH, _FIVE_STOPS, select=f"SELECT * EXCLUDE (arrival_us, departure_us), arrival_us AS arrival_time, departure_us AS departure_time, CAST(NULL AS VARCHAR) AS provided_trip_id, {_LABELS} FROM ({_VISIT})"),
     "extraction_diagnostics": _q(*_CUT, _PATH, _FIVE_STOPS, select=_diagnostics({"stop_times_kept": "SELECT count(*) FROM visits"})),
+    "stop_association": f"""WITH s AS (SELECT stop_id, latitude AS slat, longitude AS slon FROM stops_data WHERE stop_id IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL),
+c AS (SELECT t.ord AS anchor, stop_id, {_hav('latitude', 'longitude', 'slat', 'slon')} AS m FROM terminals_data t JOIN s ON latitude IS NOT NULL AND longitude IS NOT NULL),
+b AS (SELECT anchor, arg_min(stop_id, (m, stop_id)) AS stop_id, min(m) AS m FROM c GROUP BY anchor)
+SELECT t.ord AS anchor, CASE WHEN m <= 100 THEN b.stop_id END AS stop_id, round(m, 3) AS distance_m, coalesce(m <= 100, false) AS matched FROM terminals_data t LEFT JOIN b ON t.ord = b.anchor""",
+    "anchor_scores": f"""WITH f AS (SELECT ord AS fo, latitude, longitude, ord % 7 >= 3 AS kept FROM terminals_data WHERE latitude IS NOT NULL AND longitude IS NOT NULL),
+s AS (SELECT ord AS so, latitude AS slat, longitude AS slon FROM stops_data WHERE latitude IS NOT NULL AND longitude IS NOT NULL),
+p AS (SELECT fo, so FROM f JOIN s ON kept AND {_hav('latitude', 'longitude', 'slat', 'slon')} <= 150)
+SELECT (SELECT count(*) FILTER (WHERE kept) FROM f) AS n_kept, (SELECT count(*) FROM s) AS n_truth, (SELECT count(*) FILTER (WHERE NOT kept) FROM f) AS n_dropped,
+  (SELECT count(*) FROM (SELECT so FROM p GROUP BY so HAVING count(*) > 1)) AS splits, (SELECT count(*) FROM (SELECT fo FROM p GROUP BY fo HAVING count(*) > 1)) AS merges""",
+    "lines_round_trip": """SELECT route_id, direction, row_number() OVER (PARTITION BY route_id, direction ORDER BY vertex_seq, latitude, longitude) AS vertex_seq, latitude, longitude
+FROM (SELECT DISTINCT * FROM route_lines WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND vertex_seq IS NOT NULL AND route_id IS NOT NULL AND direction IS NOT NULL)""",
+    "projected_matches": _q(
+        _PINGS, _TERMINALS, "near AS (SELECT id, arg_min(terminal_id, tord) AS terminal_id FROM pings JOIN term ON sqrt(pow(tlat * 111195.0 - latitude * 111195.0, 2) + pow(tlon * 70000.0 - longitude * 70000.0, 2)) <= 250 GROUP BY id)",
+        select="SELECT id, terminal_id FROM pings LEFT JOIN near USING (id)",
+    ),
+    "evaluation_splits": "SELECT CASE WHEN user_id % 3 = 1 THEN 'transfer' WHEN user_id % 4 < 2 THEN 'calibration' ELSE 'heldout' END AS part, count(*) AS n FROM events WHERE user_id % 3 < 2 GROUP BY 1",
 }

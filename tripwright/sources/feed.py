@@ -44,3 +44,20 @@ def lines_from_wkt(shapes: DataFrame, wkt: str = "geometry") -> DataFrame:
     rows = shapes.where(ok).select("route_id", "direction", F.posexplode(points).alias("n", "p"))
     xy = F.split(F.trim("p"), r"\s+")
     return rows.select("route_id", "direction", (F.col("n") + 1).cast("double").alias("vertex_seq"), F.get(xy, F.lit(1)).try_cast("double").alias("latitude"), F.get(xy, F.lit(0)).try_cast("double").alias("longitude"))
+
+
+def points_from_wkt(rows: DataFrame, wkt: str = "geometry") -> tuple[DataFrame, bool]:
+    """(``rows`` with latitude and longitude in place of ``wkt``, whether they are projected) of POINT texts, longitude first.
+
+    A leading SRID=n; names the reference system: 4326 (or none) are degrees, any other one a plane, as long as all rows name the
+    same; several raise ValueError. Other, empty and null geometries have null coordinates.
+    """
+    text = F.upper(F.trim(F.col(wkt)))
+    system = F.nullif(F.regexp_extract(text, r"^SRID=(\d+);", 1), F.lit(""))
+    found = [r[0] for r in rows.where(F.col(wkt).isNotNull()).select(F.coalesce(system, F.lit("4326")).alias("s")).distinct().limit(2).collect()]
+    if len(found) > 1:
+        raise ValueError(f"the points name several reference systems: {sorted(found)}")
+    xy = F.split(F.nullif(F.regexp_extract(text, r"^(?:SRID=\d+;)?\s*POINT\s*(?:Z\s*)?\(([^()]*)\)$", 1), F.lit("")), r"\s+")
+    xy = F.filter(xy, lambda x: x != "")
+    out = rows.withColumns({"latitude": F.get(xy, F.lit(1)).try_cast("double"), "longitude": F.get(xy, F.lit(0)).try_cast("double")}).drop(wkt)
+    return out, bool(found) and found[0] != "4326"

@@ -20,15 +20,18 @@ def _utc(name: str):  # noqa: ANN202
     return F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(name)).cast("timestamp")
 
 
-def read(spark: SparkSession, source: DataFrame | str) -> DataFrame:
-    """A DataFrame as it is; a path as parquet if it ends so, else as CSV with a header and inferred types."""
+def read(spark: SparkSession, source: DataFrame | str, schema: str | None = None) -> DataFrame:
+    """A DataFrame as it is; a path as parquet if it ends so, else as CSV with a header.
+
+    ``schema`` saves CSV the reading that infers its types; without one they are inferred from all rows.
+    """
     if isinstance(source, DataFrame):
         return source
     if not isinstance(source, str):
         raise TypeError("a table must be a DataFrame or one path")
     if source.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(source)
-    return spark.read.csv(source, header=True, inferSchema=True)
+    return spark.read.csv(source, header=True, schema=schema, enforceSchema=False) if schema else spark.read.csv(source, header=True, inferSchema=True)
 
 
 def write(df: DataFrame, path: str | None) -> None:
