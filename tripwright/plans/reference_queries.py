@@ -229,7 +229,7 @@ def segment_split_merge(spark: SparkSession, d: str) -> DataFrame:
 
 def segment_assignment(spark: SparkSession, d: str) -> DataFrame:
     """The matching of greatest total overlap."""
-    return M.match_segments(*_segments(spark, d)).matches
+    return M.match_segments(*_segments(spark, d)).matches.withColumn("iou", F.round("iou", 9))
 
 
 def segment_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -237,11 +237,19 @@ def segment_metrics(spark: SparkSession, d: str) -> DataFrame:
     return metrics.segment_metrics(*_segments(spark, d))
 
 
+def segment_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The same without the bootstrap, whose draws only we can tell."""
+    s = segment_metrics(spark, d).drop("f1_low", "f1_high")
+    rounded = lambda c: F.round(c, 6 if c.startswith(("boundary", "unassigned")) else 9).alias(c)
+    return s.select(*[rounded(c) if t == "double" else F.col(c) for c, t in s.dtypes])
+
+
 def macro_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Scores averaged over routes."""
     pred, truth = _segments(spark, d)
     m = M.match_segments(pred, truth).matches
-    return metrics.macro_metrics(metrics.flagged(pred, truth, m, 0.5, None))
+    out = metrics.macro_metrics(metrics.flagged(pred, truth, m, 0.5, None))
+    return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
 
 
 def _matched(spark: SparkSession, d: str) -> DataFrame:
@@ -296,7 +304,7 @@ def moving_segments(spark: SparkSession, d: str) -> DataFrame:
 _ALL = (
     session_ids, run_ids, trips_by_identity, trips_by_identity_composite, trips_debounced, trips_by_terminals, trips_by_terminals_tight, dwell_runs, trips_by_layover, trajectory,
     stop_matches, stop_visits, stop_visits_min_dwell, nearest_terminal, shapes, diagnostics_identity, diagnostics_terminals, diagnostics_layover, stops_from_positions,
-    terminals_from_feed, stops_from_feed, terminals_from_lines, stops_from_lines, segment_sessions, segment_iou, segment_split_merge, segment_assignment, segment_metrics,
+    terminals_from_feed, stops_from_feed, terminals_from_lines, stops_from_lines, segment_sessions, segment_iou, segment_split_merge, segment_assignment, segment_metrics, segment_scores,
     macro_metrics, orientation_scores, risk_coverage, calibration, pattern_ari, data_sufficiency, moving_segments,
 )
 QUERIES = {"clean_pings": clean_pings_query} | {f.__name__: f for f in _ALL}

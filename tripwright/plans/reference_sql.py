@@ -136,6 +136,36 @@ ov AS (SELECT p.seg_id AS pred_id, t.seg_id AS truth_id, greatest(0, least(p.end
   FROM u2 p JOIN u2 t ON p.kind = 0 AND t.kind = 1 AND p.vehicle_id = t.vehicle_id AND p.route_id = t.route_id AND p.sn = t.sn),
 iou AS (SELECT pred_id, truth_id, inter / (both_len - inter) AS iou FROM ov WHERE inter > 0)"""
 
+# Segments of either kind don't overlap, so the edges of a session, by the time at which their overlap begins, conflict in
+# stretches: the greatest total is that of weighted intervals, g, from which the chosen edges are read backwards.
+_ASSIGNED = f"""{_BOTH},
+edge AS (SELECT p.vehicle_id, p.route_id, p.sn, p.seg_id AS pred_id, t.seg_id AS truth_id, p.start_us AS ps, p.end_us AS pe_, t.start_us AS ts, t.end_us AS te, i.iou,
+  row_number() OVER (PARTITION BY p.vehicle_id, p.route_id, p.sn ORDER BY greatest(p.start_us, t.start_us), least(p.end_us, t.end_us)) AS k
+  FROM iou i JOIN u2 p ON p.seg_id = i.pred_id JOIN u2 t ON t.seg_id = i.truth_id),
+edges AS (SELECT e.*, (SELECT count(*) FROM edge c WHERE c.vehicle_id = e.vehicle_id AND c.route_id = e.route_id AND c.sn = e.sn AND c.k < e.k AND (c.pred_id = e.pred_id OR c.truth_id = e.truth_id)) AS conflicts,
+  max(k) OVER (PARTITION BY vehicle_id, route_id, sn) AS n, count(*) OVER (PARTITION BY pred_id) AS of_pred, count(*) OVER (PARTITION BY truth_id) AS of_truth FROM edge e),
+dp AS (SELECT DISTINCT vehicle_id, route_id, sn, n, CAST(0 AS BIGINT) AS k, [CAST(0.0 AS DOUBLE)] AS g FROM edges
+  UNION ALL SELECT d.vehicle_id, d.route_id, d.sn, d.n, e.k, list_append(d.g, greatest(d.g[d.k + 1], e.iou + d.g[d.k + 1 - e.conflicts])) FROM dp d JOIN edges e ON e.vehicle_id = d.vehicle_id AND e.route_id = d.route_id AND e.sn = d.sn AND e.k = d.k + 1),
+back AS (SELECT vehicle_id, route_id, sn, g, n AS k, CAST(NULL AS BIGINT) AS won FROM dp WHERE k = n
+  UNION ALL SELECT b.vehicle_id, b.route_id, b.sn, b.g, CASE WHEN b.g[b.k + 1] > b.g[b.k] THEN b.k - 1 - e.conflicts ELSE b.k - 1 END, CASE WHEN b.g[b.k + 1] > b.g[b.k] THEN b.k END
+  FROM back b JOIN edges e ON e.vehicle_id = b.vehicle_id AND e.route_id = b.route_id AND e.sn = b.sn AND e.k = b.k WHERE b.k > 0),
+chosen AS (SELECT e.* FROM back b JOIN edges e ON e.vehicle_id = b.vehicle_id AND e.route_id = b.route_id AND e.sn = b.sn AND e.k = b.won),
+hit AS (SELECT * FROM chosen WHERE iou >= 0.5),
+every AS (SELECT route_id, count(*) FILTER (WHERE kind = 0) AS n_p, count(*) FILTER (WHERE kind = 1) AS n_t FROM u GROUP BY route_id),
+per AS (SELECT e.*, coalesce(h.tp, 0) AS tp FROM every e LEFT JOIN (SELECT route_id, count(*) AS tp FROM hit GROUP BY route_id) h USING (route_id)),
+macro AS (SELECT avg(CASE WHEN n_p > 0 THEN tp / n_p END) AS macro_precision, avg(CASE WHEN n_t > 0 THEN tp / n_t END) AS macro_recall, avg(CASE WHEN n_p + n_t > 0 THEN 2 * tp / (n_p + n_t) END) AS macro_f1 FROM per),
+tot AS (SELECT (SELECT count(*) FROM hit) AS tp, (SELECT count(*) FROM pred) AS n_p, (SELECT count(*) FROM truth) AS n_t,
+  (SELECT sum(pe_ - ps) / 1e6 FROM hit) / (SELECT sum(end_us - start_us) / 1e6 FROM pred) AS wp, (SELECT sum(te - ts) / 1e6 FROM hit) / (SELECT sum(end_us - start_us) / 1e6 FROM truth) AS wr,
+  (SELECT sum(end_us - start_us) / 1e6 FROM truth) - (SELECT sum(te - ts) / 1e6 FROM hit) AS lost,
+  (SELECT count(*) FROM (SELECT truth_id FROM iou GROUP BY 1 HAVING count(*) > 1)) AS splits, (SELECT count(*) FROM (SELECT pred_id FROM iou GROUP BY 1 HAVING count(*) > 1)) AS merges)"""
+_BOUNDS = ", ".join(f"round((SELECT {f}(abs({a} - {b}) / 1e6) FROM hit), 6) AS boundary_{n}_err_{k}" for n, a, b in (("start", "ps", "ts"), ("end", "pe_", "te")) for k, f in (("min", "min"), ("median", "median"), ("mean", "avg"), ("max", "max")))
+_R = lambda e, name: f"round({e}, 9) AS {name}"
+_SCORES = ", ".join([
+    "tp, n_p - tp AS fp, n_t - tp AS fn", _R("tp / n_p", "precision"), _R("tp / n_t", "recall"), _R("2 * (tp / n_p) * (tp / n_t) / (tp / n_p + tp / n_t)", "f1"), _R("wp", "weighted_precision"), _R("wr", "weighted_recall"),
+    _R("2 * wp * wr / (wp + wr)", "weighted_f1"), *[_R(f"macro_{x}", f"macro_{x}") for x in ("precision", "recall", "f1")], "splits, merges", _R("splits / n_t", "fragment_rate"), _R("merges / n_p", "merge_rate"),
+    _R("wr", "duration_coverage"), "round(lost, 6) AS unassigned_duration", "CAST(NULL AS DOUBLE) AS ping_coverage", _BOUNDS,
+])
+
 _MATCHED = """m AS (SELECT event_id, 'q' || (user_id % 7) AS route_id, CASE WHEN event_id % 5 <> 0 THEN (event_id % 2 + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) % 2 END AS po,
   event_id % 2 AS td, event_id % 4 <> 0 AS clean, CASE WHEN event_id % 13 <> 0 THEN (event_id % 101) / 101.0 END AS conf FROM events),
 cl AS (SELECT * FROM m WHERE clean), cov AS (SELECT * FROM cl WHERE po IS NOT NULL),
@@ -209,6 +239,9 @@ SELECT s.ord, s.stop_id, b.terminal_id, round(b.m, 3) AS metres FROM stops_data
     "segment_sessions": _q(PINGS_SQL, _BOTH, select="SELECT vehicle_id, route_id, min(start_us) AS start_us, max(end_us) AS end_us, count(*) AS n_events FROM u2 GROUP BY vehicle_id, route_id, sn"),
     "segment_iou": _q(PINGS_SQL, _BOTH, select="SELECT pred_id, truth_id, round(iou, 9) AS iou FROM iou"),
     "segment_split_merge": _q(PINGS_SQL, _BOTH, select="SELECT (SELECT count(*) FROM pred) AS n_pred, (SELECT count(*) FROM truth) AS n_truth, (SELECT count(*) FROM (SELECT truth_id FROM iou GROUP BY 1 HAVING count(*) > 1)) AS splits, (SELECT count(*) FROM (SELECT pred_id FROM iou GROUP BY 1 HAVING count(*) > 1)) AS merges"),
+    "segment_assignment": _q(PINGS_SQL, _ASSIGNED, recursive=True, select="SELECT round(iou, 9) AS iou, pred_id, truth_id, vehicle_id, route_id, abs(ps - ts) / 1e6 AS boundary_start_err, abs(pe_ - te) / 1e6 AS boundary_end_err, of_pred = 1 AND of_truth = 1 AS clean, (te - ts) / 1e6 AS truth_dur, (pe_ - ps) / 1e6 AS pred_dur FROM chosen"),
+    "macro_metrics": _q(PINGS_SQL, _ASSIGNED, recursive=True, select=f"SELECT {', '.join(_R(f'macro_{x}', f'macro_{x}') for x in ('precision', 'recall', 'f1'))} FROM macro"),
+    "segment_scores": _q(PINGS_SQL, _ASSIGNED, recursive=True, select=f"SELECT {_SCORES} FROM tot, macro"),
     "orientation_scores": _q(_MATCHED, select="""SELECT round((SELECT count(*) FROM cov) / count(*), 9) AS coverage, (SELECT count(*) FROM cov) / count(*) >= 0.7 AS min_coverage_gate,
 round((SELECT (avg(CASE WHEN td = 0 THEN CASE WHEN pm = td THEN 1.0 ELSE 0 END END) + avg(CASE WHEN td = 1 THEN CASE WHEN pm = td THEN 1.0 ELSE 0 END END)) / 2 FROM mp), 9) AS balanced_accuracy,
 round((SELECT avg(CASE WHEN pm = td THEN 1.0 ELSE 0 END) FROM mp WHERE td = 0), 9) AS recall0, round((SELECT avg(CASE WHEN pm = td THEN 1.0 ELSE 0 END) FROM mp WHERE td = 1), 9) AS recall1,
