@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import pings as P
+from . import look_sql
 from .encoding import encoded
 from .lookalike import alike_classes, alike_pairs, learn, unified
 from .mixing import Mixture, mix
@@ -76,4 +77,4 @@ def p10_unified(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_runs, p4_near, p8_ids, p9_mixture, p9_shares, p10_found, p10_classes, p10_unified)}
-ORACLE = {"p4_runs": RUNS, "p4_found": f"SELECT vehicle_id, start_us, end_us FROM ({RUNS}) WHERE n_events >= 2"}
+ORACLE = {"p4_runs": RUNS, "p4_found": f"SELECT vehicle_id, start_us, end_us FROM ({RUNS}) WHERE n_events >= 2"} | look_sql.ORACLE
