@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tripwright.operators import builders
 from tripwright.operators.cleaning import clean_pings
-from tripwright.operators.dwell import anchored
+from tripwright.operators.dwell import anchored, dwell_runs
 from tripwright.operators.features import STOP_COLUMNS, TRIP_COLUMNS, stop_visits
 from tripwright.operators.matching import line_distance, nearest, radius_match
 from tripwright.operators.proximity import _distance
@@ -324,8 +324,23 @@ def test_debounce_against_the_loop(spark):
     assert got == want
 
 
+def test_dwell_runs_over_batches(spark):
+    rng = np.random.default_rng(6)
+    rows = [(v, s, i, i, i, float(x), 0.0) for v in ("a", "b", None) for s in (0, 1) for i, x in enumerate(np.cumsum(rng.normal(0, 3, 97)))]
+    df = spark.createDataFrame(rows, "vehicle_id string, _s bigint, t bigint, _ord bigint, id bigint, latitude double, longitude double")
+    want = {(v, s, i): r for v in ("a", "b", None) for s in (0, 1) for i, r in enumerate(anchored([x[5] for x in rows if x[0] == v and x[1] == s], [0.0] * 97, 5.0, True)[0])}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        assert {(r.vehicle_id, r._s, r.t): r.run for r in dwell_runs(df, 5.0, True).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert dwell_runs(df.limit(0), 5.0).count() == 0
+
+
 def test_anchored_runs_and_shapes(spark):
-    assert anchored([0.0, 3.0, 6.0, 4.0], [0.0] * 4, 5.0, True) == [0, 0, 1, 1]
+    assert anchored([0.0, 3.0, 6.0, 4.0], [0.0] * 4, 5.0, True)[0] == [0, 0, 1, 1]
+    runs, at = anchored([None, 0.0, 3.0], [0.0] * 3, 5.0, True)
+    assert runs + anchored([6.0, float("nan"), 4.0], [0.0] * 3, 5.0, True, at)[0] == [0, 0, 0, 1, 1, 1]
     path = spark.createDataFrame([("v", 1, 0, 0, 0.0, 0.0), ("v", 1, 1, 0, 3.0, 4.0), ("v", None, 2, 0, 9.0, 9.0)], "vehicle_id string, trip_id int, t bigint, _ord int, latitude double, longitude double")
     assert [(r.shape_id, r.shape_pt_sequence, r.shape_dist_traveled) for r in shapes_from_trips(path, projected=True).orderBy("shape_pt_sequence").collect()] == [("SHP_1", 1, 0.0), ("SHP_1", 2, 5.0)]
 

@@ -70,3 +70,27 @@ def map_groups(
             yield from out(pa.Table.from_batches(held))
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def map_streams(df: DataFrame, keys: list[str], order: list[str], step: Callable[[pa.Table, np.ndarray, object], tuple[pa.Table, object]], schema: str) -> DataFrame:
+    """Rows of ``df`` hash-partitioned by ``keys``, sorted by ``keys`` then ``order``, to ``step`` batch by batch.
+
+    ``step(table, starts, state)`` gets the rows of one batch, the row numbers at which groups begin (without 0 if the first
+    rows go on with the group of the batch before) and what it returned as state then (None at first); it returns a table of
+    ``schema`` and the state of its last group. A task holds one batch, however large a group is.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list | None = None
+        state: object = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            table = pa.Table.from_batches([b])
+            starts = group_starts(table, keys)
+            first = [table.column(k)[0].as_py() for k in keys]
+            made, state = step(table, starts[1:] if first == last else starts, state)
+            last = [table.column(k)[b.num_rows - 1].as_py() for k in keys]
+            yield from made.combine_chunks().to_batches()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
