@@ -82,7 +82,7 @@ def test_empty_pings_keep_the_columns(spark, out_and_back, places):
 
 
 def test_direction_conflict_and_cut(spark, out_and_back, places):
-    with pytest.raises(ValueError, match="change direction"):
+    with pytest.raises(ValueError, match="1 of 1 trips with a direction change direction on the way, the longest lasts 45.0 minutes"):
         extract_trips(spark, out_and_back.withColumn("trip", F.lit("one")), None, Options(trip_col="trip", direction_col="way"))
     cut = extract_trips(spark, out_and_back, None, Options(trip_col="trip", direction_col="way", cut_on_direction_change=True, direction_debounce_min_seconds=60))
     assert [(r.provided_trip_id, r.direction) for r in cut.trips.orderBy("trip_id").collect()] == [("CS_1_A", 1), ("CS_2_B", 2)]

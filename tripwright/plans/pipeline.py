@@ -171,11 +171,12 @@ def with_direction(trips: DataFrame, rows: DataFrame, columns: list[str], value:
     p = rows.where(~blank(S.identity(columns))).join(marks, ["vehicle_id", "_s", "t"], "left")
     p = p.withColumn("_m", F.last("_m", ignorenulls=True).over(up_to(in_order()))).where(F.col("t") <= F.col("_m.end_us"))
     p = p.withColumn("_v", F.when(~blank(F.col(value)), F.col(value).cast("string")))
-    per = p.groupBy("vehicle_id", "_s", F.col("_m.start_us").alias("start_us")).agg(F.min("_v").alias("a"), F.max("_v").alias("b"), F.min_by(F.col("_v"), F.when(F.col("_v").isNotNull(), F.col("t"))).alias("_dir"))
-    bad = per.where("a <> b").count()
+    per = p.groupBy("vehicle_id", "_s", F.col("_m.start_us").alias("start_us")).agg(F.min("_v").alias("a"), F.max("_v").alias("b"), F.min_by(F.col("_v"), F.when(F.col("_v").isNotNull(), F.col("t"))).alias("_dir"), F.max("_m.end_us").alias("z"))
+    changes = F.col("a") != F.col("b")
+    bad, known, longest = per.agg(F.count_if(changes), F.count("a"), F.max(F.when(changes, (F.col("z") - F.col("start_us")) / 6e7))).first()
     if bad:
-        raise ValueError(f"{bad} trips change direction on the way; pass cut_on_direction_change or another identity")
-    return trips.join(per.drop("a", "b"), ["vehicle_id", "_s", "start_us"], "left")
+        raise ValueError(f"{bad} of {known} trips with a direction change direction on the way, the longest lasts {longest:.1f} minutes; pass cut_on_direction_change or another identity")
+    return trips.join(per.drop("a", "b", "z"), ["vehicle_id", "_s", "start_us"], "left")
 
 
 def extract_trips(spark: SparkSession, pings: DataFrame | str, terminals: DataFrame | str | None = None, options: Options | None = None, output_path: str | None = None) -> Extract:
