@@ -15,5 +15,14 @@ def test_each_message_once_over_batches_and_replays(spark, tmp_path):
         q.awaitTermination()
         assert q.exception() is None
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 4, 6]
-    again = SeenStore(spark, str(tmp_path / "store")).absorb(spark.createDataFrame([(9, "zz", 9)], "id bigint, k string, at bigint"), 1)
+    store = SeenStore(spark, str(tmp_path / "store"))
+    name = store._read(2)["batch"]
+    assert name.endswith("/1") and not name.startswith("None")
+    again = store.absorb(spark.createDataFrame([(9, "zz", 9)], "id bigint, k string, at bigint"), name)
     assert [r.id for r in again.collect()] == [4]
+    # another query on the same store counts its batches from 0 anew, and is no replay
+    spark.createDataFrame([(20, "b", 2, "old"), (21, "c", 1, "new")], schema).coalesce(1).write.parquet(str(tmp_path / "in2"))
+    other = first_deliveries(spark.readStream.schema(schema).parquet(str(tmp_path / "in2")), str(tmp_path / "store"), "v", "t", lambda df, n: df.write.parquet(str(tmp_path / "out2")))
+    q = other.option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert q.exception() is None and [r.id for r in spark.read.parquet(str(tmp_path / "out2")).collect()] == [21]

@@ -207,14 +207,14 @@ class SeenStore:
     def _kept(self, name: str) -> DataFrame:
         return self.spark.read.schema("id bigint").parquet(f"{self.folder}/data/{name}/win=true")
 
-    def absorb(self, arrived: DataFrame, batch: int | None = None) -> DataFrame:
+    def absorb(self, arrived: DataFrame, batch: int | str | None = None) -> DataFrame:
         """Take a batch (id, k, at) and return the ids (id) of the arrivals kept: of each identifier not seen
         in an earlier batch the smallest id. Rows with null key or instant are kept out.
 
         Copies shrink where they lie, before they move. The batch counts once its commit file is in place: a job
         that fails before leaves the store as it was, a batch absorbed twice keeps nothing anew, and a second
-        writer of one version gets a RuntimeError and may try again. ``batch`` is a number by which a batch that is
-        replayed is known, whatever numbers came before: if it is among the last REPLAYS versions, what it kept is returned.
+        writer of one version gets a RuntimeError and may try again. ``batch`` is a name by which a batch that is
+        replayed is known, whatever names came before: if it is among the last REPLAYS versions, what it kept is returned.
         """
         before = self._versions()
         v = max(before, default=0)
