@@ -231,6 +231,38 @@ def test_more_targets_than_an_array_holds(spark, projected):
     assert got == {98: None, 99: None} | {i: f"t{np.flatnonzero(k).max()}" if k.any() else None for i, k in enumerate(ok)}
 
 
+def test_polygons_on_the_plane(spark, monkeypatch):
+    from tripwright.functions.geo import utm_xy
+    from tripwright.operators import matching
+    from tripwright.operators.matching import buffer_match
+
+    # on the middle meridian the northing is its arc, integrated here; 3 degrees east of it the easting by the classic series
+    a, f, lat = 6_378_137.0, 1 / 298.257223563, np.radians(50.0)
+    e2, turn = f * (2 - f), np.radians(3.0)
+    at_lat = np.linspace(0, lat, 200_001)
+    arc = np.trapezoid(a * (1 - e2) / (1 - e2 * np.sin(at_lat) ** 2) ** 1.5, at_lat)
+    t2, c2 = np.tan(lat) ** 2, e2 / (1 - e2) * np.cos(lat) ** 2
+    A = turn * np.cos(lat)
+    easting = 500_000 + 0.9996 * a / np.sqrt(1 - e2 * np.sin(lat) ** 2) * (A + (1 - t2 + c2) * A**3 / 6 + (5 - 18 * t2 + t2**2 + 72 * c2 - 58 * e2 / (1 - e2)) * A**5 / 120)
+    spots = [utm_xy(F.lit(p), F.lit(q), s) for p, q, s in ((0.0, 9.0, 32632), (50.0, 9.0, 32632), (50.0, 12.0, 32632), (-50.0, 9.0, 32732))]
+    r = spark.range(1).select(*[c for xy in spots for c in xy]).first()
+    assert (r[0], r[1], r[2]) == (500_000.0, 0.0, 500_000.0) and r[3] == pytest.approx(0.9996 * arc, abs=0.01) and r[4] == pytest.approx(easting, abs=0.01)
+    assert r[7] == pytest.approx(10_000_000 - 0.9996 * arc, abs=0.01)
+    where = "latitude double, longitude double"
+    targets = spark.createDataFrame([("a", 50.0, 9.0, 2, "x"), ("b", 50.001, 9.0, 1, "x"), ("c", None, 9.0, 0, "x")], f"t string, {where}, ord int, g string")
+    metre = 1 / 111_195.0
+    pings = spark.createDataFrame([(1, 50.0, 9.0, "x"), (2, 50.0 + 60 * metre, 9.0, "x"), (3, 50.0 + 300 * metre, 9.0, "x"), (4, None, 9.0, "x"), (5, 50.0, 9.0, "y")], f"id int, {where}, g string")
+    for limit in (1000, 1):
+        monkeypatch.setattr(matching, "ARRAY_TARGETS", limit)
+        out = buffer_match(pings, targets, "t", 70.0, 130.0, by="g", name="m").collect()
+        assert {r.id: r.m for r in out} == {1: "a", 2: "b", 3: None, 4: None, 5: None} and {r.id: r.latitude for r in out}[1] == 50.0
+    # between two corners the edge lies inside the circle
+    plane = spark.createDataFrame([(1, 0.0, 100.0), (2, float(100.0 * np.sin(np.radians(1.5))), float(100.0 * np.cos(np.radians(1.5))))], f"id int, {where}")
+    one = spark.createDataFrame([("o", 0.0, 0.0, 1)], f"t string, {where}, ord int")
+    assert {r.id: r.m for r in radius_match(plane, one, "t", 100.0, name="m", projected=True, sides=120).collect()} == {1: "o", 2: None}
+    assert {r.id: r.m for r in radius_match(plane, one, "t", 100.0, name="m", projected=True).collect()} == {1: "o", 2: "o"}
+
+
 def test_line_distance_by_hand(spark):
     k = 111_194.92664455873
     lines = spark.createDataFrame([("r", "A", float(i), 0.001, 0.001 + m / k) for i, m in enumerate([0, 200, 200, 400])], "route_id string, direction string, vertex_seq double, latitude double, longitude double")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_M, haversine_m, planar_m
+from ..functions.geo import EARTH_M, haversine_m, planar_m, polygon_m, utm_system, utm_xy
 from ..shared import stage
 from .proximity import near, nearest_pairs
 
@@ -18,7 +18,9 @@ ARRAY_TARGETS = 1000
 BROADCAST_CELLS = 500_000
 
 
-def _distance(projected: bool, a: Column, b: Column, c: Column, d: Column) -> Column:
+def _distance(projected: bool, a: Column, b: Column, c: Column, d: Column, sides: int | None = None) -> Column:
+    if sides:
+        return polygon_m(sides, b, a, d, c)
     return planar_m(a, b, c, d) if projected else haversine_m(a, b, c, d)
 
 
@@ -64,7 +66,7 @@ def _cells_reached(targets: DataFrame, reach: float, projected: bool) -> DataFra
 
 
 def radius_match(
-    pings: DataFrame, targets: DataFrame, target_id: str, r1: float, r2: float = 0.0, by: str | None = None, name: str = "target_id", projected: bool = False
+    pings: DataFrame, targets: DataFrame, target_id: str, r1: float, r2: float = 0.0, by: str | None = None, name: str = "target_id", projected: bool = False, sides: int | None = None
 ) -> DataFrame:
     """``pings`` with ``name``: the first target, in order of ``ord``, within r1; else the first within r2; else null.
 
@@ -72,7 +74,8 @@ def radius_match(
     sides that must be equal. A null or NaN coordinate matches nothing. Targets are listed by the grid cells that they
     reach, of which a ping looks up its own: a ping is tested against the targets about it only, and isn't exchanged while the
     table of cells is small enough to broadcast. Where a cell holds too many targets for a list, pings and
-    targets meet in the spatial join and the choice is made per ping.
+    targets meet in the spatial join and the choice is made per ping. ``sides``: of projected coordinates (latitude the
+    northing), within the regular polygon of so many sides instead of the circle.
     """
     finite = (F.abs("latitude") < float("inf")) & (F.abs("longitude") < float("inf"))
     t = targets.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).where(finite)
@@ -98,22 +101,46 @@ def radius_match(
         def within(r: float) -> Column:
             def test(e: Column) -> Column:
                 close = F.abs(F.col("latitude") - e["a"]) <= box
-                return close & (_distance(projected, F.col("latitude"), F.col("longitude"), e["a"], e["b"]) <= r)
+                return close & (_distance(projected, F.col("latitude"), F.col("longitude"), e["a"], e["b"], sides) <= r)
 
             return F.get(F.filter("_targets", test), F.lit(0))["id"]
 
         found = within(r1) if r2 <= r1 else F.coalesce(within(r1), within(r2))
         return rows.withColumn(name, found).drop("_targets")
     rows = stage(pings.withColumn("_row", F.monotonically_increasing_id().cast("string")), "points")  # numbers that stay
-    places = t.withColumn("_target", F.to_json(F.struct("ord", F.col(target_id).cast("string").alias("id"), F.col(by).alias("g") if by else F.lit(1).alias("g"))))
-    pairs = near(rows, places, max(r1, r2), "_row", "_target", valid=False, projected=projected).withColumn("x", F.from_json("_target", "ord bigint, id string, g string"))
-    if by:
-        pairs = pairs.join(rows.select("_row", F.col(by).cast("string").alias("_g")), "_row").where(F.col("x.g") == F.col("_g"))
-    tier = F.when(F.col("metres") <= r1, 0).otherwise(1)
-    best = pairs.groupBy("_row").agg(F.min(F.struct(tier, F.col("x.ord"), F.col("x.id").alias("id"))).alias("m"))
+    group = F.col(by).cast("string").alias("g") if by else F.lit("").alias("g")
+    places = t.withColumn("_target", F.to_json(F.struct("ord", F.col(target_id).cast("string").alias("id"), group, where[0].alias("a"), where[1].alias("b"))))
+    pairs = near(rows, places, reach, "_row", "_target", valid=False, projected=projected).withColumn("x", F.from_json("_target", "ord bigint, id string, g string, a double, b double"))
+    pairs = pairs.join(rows.select("_row", group.alias("_g"), F.col("latitude").alias("_a"), F.col("longitude").alias("_b")), "_row").where(F.col("x.g") == F.col("_g"))
+    metres = _distance(projected, F.col("_a"), F.col("_b"), F.col("x.a"), F.col("x.b"), sides)  # as in the lists
+    tier = F.when(metres <= r1, 0).when(metres <= r2, 1)
+    best = pairs.where(tier.isNotNull()).groupBy("_row").agg(F.min(F.struct(tier, F.col("x.ord"), F.col("x.id").alias("id"))).alias("m"))
     return rows.join(best.select("_row", F.col("m.id").alias(name)), "_row", "left").drop("_row")
 
 
+#: Sides of the polygons that stand for circles on a map plane: 30 a quarter.
+BUFFER_SIDES = 120
+
+
+def buffer_match(pings: DataFrame, targets: DataFrame, target_id: str, r1: float, r2: float = 0.0, by: str | None = None, name: str = "target_id", system: int | None = None) -> DataFrame:
+    """As ``radius_match``, on the plane of a UTM system and within polygons of BUFFER_SIDES sides about the targets.
+
+    system: its EPSG number, by default that of the median position of the pings. Beyond its zone distances are stretched.
+    Pings without any position match nothing.
+    """
+    if system is None:
+        at = pings.agg(F.percentile_approx("latitude", 0.5), F.percentile_approx("longitude", 0.5)).first()
+        system = utm_system(at[0] or 0.0, at[1] or 0.0)
+
+    def plane(df: DataFrame) -> DataFrame:
+        x, y = utm_xy(F.col("latitude").cast("double"), F.col("longitude").cast("double"), system)
+        return df.withColumns({"latitude": y, "longitude": x})
+
+    kept = pings.withColumns({"_lat": F.col("latitude"), "_lon": F.col("longitude")})
+    found = radius_match(plane(kept), plane(targets), target_id, r1, r2, by, name, projected=True, sides=BUFFER_SIDES)
+    return found.withColumns({"latitude": F.col("_lat"), "longitude": F.col("_lon")}).drop("_lat", "_lon")
+
+
 def nearest(rows: DataFrame, targets: DataFrame, target_id: str, lat: str, lon: str, name: str, projected: bool = False) -> DataFrame:
     """``rows`` with ``name``, the nearest target at any distance, and ``name``_m; of equals the first by ``ord``.
 
