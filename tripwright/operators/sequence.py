@@ -21,7 +21,7 @@ def keyed(pings: DataFrame, gap_us: int) -> DataFrame:
     """``pings`` with _s, the start of the session that each lies in: silences over ``gap_us`` part sessions."""
     span = max(SPAN_US, gap_us)
     rows = pings.withColumn("_span", F.floor(F.col("t") / span))
-    found = sessions(rows, "vehicle_id", "t", gap_us, span)
+    found = sessions(rows, "vehicle_id", "t", gap_us, span, distinct=True)
     return session_of(rows, found, "vehicle_id", "t", "_span", span).withColumnRenamed("session_us", "_s").drop("_span")
 
 

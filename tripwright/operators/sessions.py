@@ -28,15 +28,18 @@ def sweep(activity: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
     return out.drop("_no")
 
 
-def sessions(events: DataFrame, key: str, at: str, gap_us: int, span_us: int = 86_400_000_000) -> DataFrame:
+def sessions(events: DataFrame, key: str, at: str, gap_us: int, span_us: int = 86_400_000_000, distinct: bool = False) -> DataFrame:
     """(key, start_us, end_us, duration_us, n_events) of every session of ``key``.
 
     ``at`` is an instant in micros; silences longer than ``gap_us`` part sessions, exactly ``gap_us`` doesn't.
     Rows with null key or instant take part in none; rows of one key and instant count as one event; an empty
-    table has no sessions. A key's fragments are at most its spans plus its sessions, whatever its rows.
+    table has no sessions. ``distinct``: the caller's rows are known to differ by key and instant, which saves looking for
+    copies (sessions are the same with copies, their counts are not). A key's fragments are at most its spans plus its sessions, whatever its rows.
     """
     rows = events.select(F.col(key).alias("_k"), F.col(at).alias("s")).where("_k is not null and s is not null")
-    rows = rows.withColumn("span", F.floor(F.col("s") / span_us)).groupBy("_k", "span", "s").agg(F.lit(1).cast("bigint").alias("n"))
+    rows = rows.withColumn("span", F.floor(F.col("s") / span_us))
+    one = F.lit(1).cast("bigint").alias("n")
+    rows = rows.select("*", one) if distinct else rows.groupBy("_k", "span", "s").agg(one)
     parts = sweep(rows.withColumn("e", F.col("s")), ["_k", "span"], gap_us)
     whole = sweep(parts.select("_k", F.col("start_us").alias("s"), F.col("end_us").alias("e"), F.col("n_events").alias("n")), ["_k"], gap_us)
     return whole.select(F.col("_k").alias(key), "start_us", "end_us", (F.col("end_us") - F.col("start_us")).alias("duration_us"), "n_events")

@@ -72,7 +72,7 @@ def valid_position():  # noqa: ANN201
 
 def with_sessions(rows: DataFrame) -> DataFrame:
     """Kept rows with ``session_us`` and ``usual`` (null: the vehicle was never seen to move)."""
-    found = sessions(rows, "vehicle_id", "t", GAP_US).join(usual_speed(rows), "vehicle_id", "left")
+    found = sessions(rows, "vehicle_id", "t", GAP_US, distinct=True).join(usual_speed(rows), "vehicle_id", "left")
     touched = F.explode(F.sequence(F.floor(F.col("start_us") / SPAN_US), F.floor(F.col("end_us") / SPAN_US)))
     lists = found.select(F.col("vehicle_id").alias("_k"), touched.alias("_span"), "start_us", "usual")
     lists = lists.groupBy("_k", "_span").agg(F.collect_list("start_us").alias("_starts"), F.first("usual").alias("usual"))
