@@ -5,10 +5,12 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType, TimestampType
 
+from ..shared import stage
 from .sequence import row_numbers
 
 #: Column names that results add; passthrough columns of these names are left out of trajectories.
@@ -107,7 +109,8 @@ def clean_pings(
     seconds; one that can't be read raises. Of rows with equal vehicle and time the first in input order is kept:
     ``order_col`` gives that order (else id if there is one, else any order). Ids that are missing, blank or repeated are
     numbered anew, all of them (``ids`` False leaves them, for callers that see to it by ``with_ids``). Columns beside
-    these pass through. One pass over the data serves all checks and counts; validate=False neither looks nor raises.
+    these pass through. The pings are written once, and all checks and counts are made on the way; validate=False neither
+    looks nor writes nor raises.
     Without any vehicle ``default_vehicle`` is put in. Empty tables stay empty.
     """
     df = pings
@@ -143,27 +146,34 @@ def clean_pings(
     zero = (F.col("latitude") == 0) | (F.col("longitude") == 0)
     missing = blank(F.col("vehicle_id"))
     tallies = [F.count("*").alias("pings_in"), F.count_if(zero).alias("pings_dropped_zero_coord"), F.count_if(~zero & missing).alias("pings_dropped_missing_vehicle")]
-    inputs = df.agg(*tallies)
-    if validate:
-        more = [F.count_if(~zero & ~missing & F.col("t").isNull()).alias("no_time"), F.count("speed").alias("speeds"), F.count_if(F.col("vehicle_id").isNotNull()).alias("vehicles"), F.count_if(~zero & F.col("t").isNull()).alias("no_time_at_all")]
-        seen = df.agg(*tallies, *coordinate_faults("latitude", "longitude"), *more).first()
-        refuse_coordinates(seen.not_finite, seen.out_of_range, projected, "pings")
-        placed = default_vehicle is not None and seen.pings_in and not seen.vehicles
-        if placed:
-            df, missing = df.withColumn("vehicle_id", F.lit(default_vehicle)), F.lit(False)
-        no_vehicle = 0 if placed else seen.pings_dropped_missing_vehicle
-        if no_vehicle and not drop_missing_vehicle:
-            raise ValueError(f"{no_vehicle} pings have no vehicle")
-        if no_time := seen.no_time_at_all if placed else seen.no_time:
-            raise ValueError(f"{no_time} pings have a time that can't be read")
-        if seen.pings_in and not seen.speeds and not silent:
-            warnings.warn("every speed is null", stacklevel=2)
-        inputs = df.sparkSession.createDataFrame([(seen.pings_in, seen.pings_dropped_zero_coord, no_vehicle)], "pings_in bigint, pings_dropped_zero_coord bigint, pings_dropped_missing_vehicle bigint")
-    kept = df.where(~zero & ~missing)
+    more = [F.count_if(~zero & ~missing & F.col("t").isNull()).alias("no_time"), F.count("speed").alias("speeds"), F.count_if(F.col("vehicle_id").isNotNull()).alias("vehicles")]
+    watch = Observation()
+    looks = [*tallies, *coordinate_faults("latitude", "longitude"), *more]
+    source = df.observe(watch, *looks) if validate else df
+    kept = source.where(~zero & ~missing)
     if dedupe:
         first = Window.partitionBy("vehicle_id", "t").orderBy("_ord")
         kept = kept.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     kept = kept.withColumns({"date": local_text(F.col("t"), tz or "UTC", "yyyy-MM-dd"), "time_str": local_text(F.col("t"), tz or "UTC", "HH:mm:ss")})
+    inputs = df.agg(*tallies)
+    if validate:
+        kept = stage(kept, "cleaned")
+        try:
+            seen = watch.get
+        except Py4JJavaError:  # nothing was observed: the optimizer saw that there are no rows
+            seen = df.agg(*looks).first().asDict()
+        refuse_coordinates(seen["not_finite"], seen["out_of_range"], projected, "pings")
+        if default_vehicle is not None and seen["pings_in"] and not seen["vehicles"]:
+            named = df.select(*[c for c in df.columns if c not in ("t", "_ord")]).withColumn("vehicle_id", F.lit(default_vehicle))
+            return clean_pings(named, tz=tz, projected=projected, dedupe=dedupe, order_col=order_col, validate=True, ids=ids)
+        if seen["pings_dropped_missing_vehicle"] and not drop_missing_vehicle:
+            raise ValueError(f"{seen['pings_dropped_missing_vehicle']} pings have no vehicle")
+        if seen["no_time"]:
+            raise ValueError(f"{seen['no_time']} pings have a time that can't be read")
+        if seen["pings_in"] and not seen["speeds"] and not silent:
+            warnings.warn("every speed is null", stacklevel=2)
+        names = ("pings_in", "pings_dropped_zero_coord", "pings_dropped_missing_vehicle")
+        inputs = df.sparkSession.createDataFrame([tuple(seen[c] for c in names)], ", ".join(f"{c} bigint" for c in names))
     if ids and (validate or "id" not in kept.columns):
         kept = with_ids(kept)
     return Cleaned(kept, inputs, projected)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +31,11 @@ def _written(pings: DataFrame, feeds: DataFrame, columns: tuple[str, ...], name:
     out = last(out.where("instant_us is not null").select(*shape))
     path = new_path(spark, name)
     out.write.parquet(path)
-    if seen.get["open"]:
+    try:
+        unproven = seen.get["open"] > 0
+    except Py4JJavaError:  # nothing was observed, so nothing is proven
+        unproven = True
+    if unproven:
         path = new_path(spark, name)
         last(normalise(rows, feeds, "vehicle_id", *columns).where("instant_us is not null").select(*shape)).write.parquet(path)
     return spark.read.schema(out.schema).parquet(path)
